@@ -27,7 +27,7 @@ MIN_CHARS = 25
 MIN_ROWS = 5
 MIN_SHARE = 0.05
 #: White space other than the line break, no-break spaces included (fixed values).
-SPACE = r"[\t\u000b\u000c\r\u001c-\u001f \u0085   -     　]+"
+SPACE = r"[\t\x0b\x0c\r\x1c-\x1f \x85\xa0  -     　]+"
 
 
 def norm_lines(text: Column) -> Column:
