@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,8 +32,7 @@ CODE_PAGES = ("cp1252", "cp1255", "cp1250", "cp437", "mac_roman", "cp850", "cp86
 PLAUSIBLE = re.compile("[\u00a0-\u017f\u02c6-\u02dd\u0370-\u04ff\u0590-\u05f4\u1e00-\u1eff\u2000-\u2069\u20a0-\u20bf\u2100-\u27bf\ufb1d-\ufb4f\ufeff\U0001f000-\U0001faff]")
 
 
-@lru_cache
-def to_bytes(page: str) -> dict[str, int]:
+def _to_bytes(page: str) -> dict[str, int]:
     """Character -> byte of the page's upper half; bytes it leaves undefined stand for themselves."""
     table = {chr(b): b for b in range(0x80, 0xA0)} if page.startswith("cp12") else {}
     for b in range(0x80, 0x100):
@@ -45,9 +43,8 @@ def to_bytes(page: str) -> dict[str, int]:
     return table
 
 
-@lru_cache
-def _page_runs(page: str) -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, to_bytes(page))) + "]{2,}")
+TO_BYTES = {page: _to_bytes(page) for page in CODE_PAGES}
+_RUNS = {page: re.compile("[" + "".join(map(re.escape, table)) + "]{2,}") for page, table in TO_BYTES.items()}
 
 
 def multibyte_spans(data: bytes) -> list[tuple[int, int, bool]]:
@@ -87,8 +84,8 @@ def _plausible(out: str, text: str, a: int, b: int) -> bool:
 
 def _unfold(text: str, page: str) -> tuple[str, int, int]:
     """One layer off: (text, restored spans, spans cut short)."""
-    table, out, at, done, cut = to_bytes(page), [], 0, 0, 0
-    for m in _page_runs(page).finditer(text):
+    table, out, at, done, cut = TO_BYTES[page], [], 0, 0, 0
+    for m in _RUNS[page].finditer(text):
         data = bytes(table[c] for c in m.group())
         for a, b, short in multibyte_spans(data):
             if short:
@@ -114,7 +111,7 @@ def repair(text: str) -> tuple[str, list[str], bool]:
     lost = bool(_LOST.search(text))
     if _LATIN_RUN.search(text):
         # runs of such letters never come from multibyte text, whose continuation bytes lie lower
-        back = {c: bytes([b]).decode("cp1255", "ignore") or c for c, b in to_bytes("cp1252").items() if b >= 0xE0}
+        back = {c: bytes([b]).decode("cp1255", "ignore") or c for c, b in TO_BYTES["cp1252"].items() if b >= 0xE0}
         text = _LATIN_ANY.sub(lambda m: "".join(back.get(c, c) for c in m.group()), text)
         pages.append("hebrew-as-latin")
     for _ in range(6):
@@ -155,7 +152,7 @@ def suspicious(c: Column) -> Column:
     """Whether the automaton could find a span in ``c``: a lead character before a continuation."""
     pairs = set()
     for page in CODE_PAGES:
-        t = to_bytes(page)
+        t = TO_BYTES[page]
         lead = {ch for ch, b in t.items() if 0xC2 <= b <= 0xF4}
         cont = {ch for ch, b in t.items() if 0x80 <= b <= 0xBF}
         pairs.add(_class(lead) + _class(cont))

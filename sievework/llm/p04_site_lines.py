@@ -13,7 +13,7 @@ Defined results: lines are split at ``\\n`` and numbered from 1; a null or empty
 lines; a null source counts as ''; rows with missing text count as rows of their source; a line
 repeated inside one text is one row for the threshold but every occurrence comes out; ties do
 not occur; other columns pass through ``remove_site_lines`` untouched; empty tables give no
-rows. Hash collisions cannot mark a wrong line: the text of the line is compared as well.
+rows. A line is known by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -27,46 +27,50 @@ MIN_CHARS = 25
 MIN_ROWS = 5
 MIN_SHARE = 0.05
 #: White space other than the line break, no-break spaces included (fixed values).
-SPACE = r"[\t\x0b\x0c\r\x1c-\x1f \x85\xa0  -     　]+"
+_OTHER = r"\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　"
+#: Runs to be made one space; a single plain space already is one.
+SPACE = rf"[ {_OTHER}]{{2,}}|[{_OTHER}]"
 
 
 def norm_lines(text: Column) -> Column:
     """Lines of ``text`` with white space squeezed, trimmed and lower-cased."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.lower(text), SPACE, " "), " ?\n ?", "\n"), "\n")
+    return F.transform(F.split(F.regexp_replace(F.lower(text), SPACE, " "), "\n"), lambda x: F.trim(x))
 
 
-def _trimmed(text: Column) -> Column:
-    """Outer blanks off, so that first and last line are trimmed like the inner ones."""
-    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
+def line_id(line: Column) -> Column:
+    """128 bits that stand for a line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
 def frequent_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``source, h, line, n_rows, share`` of the lines above both thresholds (checkpointed)."""
+    """``source, a, b, n_rows, share`` of the lines above both thresholds (checkpointed)."""
     keyed = rows.select(F.coalesce("source", F.lit("")).alias("source"), "desc")
     totals = keyed.groupBy("source").agg(F.count("*").alias("total"))
+    lines = F.array_distinct(F.transform(F.filter(norm_lines(F.col("desc")), lambda x: F.length(x) >= min_chars), line_id))
     counted = (
-        keyed.select("source", F.explode(F.array_distinct(F.filter(norm_lines(_trimmed(F.col("desc"))), lambda x: F.length(x) >= min_chars))).alias("line"))
-        .groupBy("source", F.xxhash64("line").alias("h"))
-        .agg(F.count("*").alias("n_rows"), F.min("line").alias("line"))
+        keyed.select("source", F.explode(lines).alias("id"))
+        .groupBy("source", F.col("id.a").alias("a"), F.col("id.b").alias("b"))
+        .agg(F.count("*").alias("n_rows"))
         .filter(F.col("n_rows") >= min_rows)
     )
     return cut(
         counted.join(totals, "source")
         .filter(F.col("n_rows") >= F.lit(min_share) * F.col("total"))
-        .select("source", "h", "line", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"))
+        .select("source", "a", "b", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"))
     )
 
 
 def marked_lines(rows: DataFrame, key: str = "ord", **limits) -> DataFrame:
     """``<key>, line_no`` of each occurrence of a frequent line."""
-    frequent = checked_broadcast(frequent_lines(rows, **limits).select("source", "h", "line"))
+    frequent = checked_broadcast(frequent_lines(rows, **limits).select("source", "a", "b"))
     min_chars = limits.get("min_chars", MIN_CHARS)
     each = (
-        rows.select(key, F.coalesce("source", F.lit("")).alias("source"), F.posexplode(norm_lines(_trimmed(F.col("desc")))).alias("pos", "line"))
+        rows.select(key, F.coalesce("source", F.lit("")).alias("source"), F.posexplode(norm_lines(F.col("desc"))).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
-        .withColumn("h", F.xxhash64("line"))
+        .select(key, "source", "pos", line_id(F.col("line")).alias("id"))
+        .select(key, "source", "pos", "id.a", "id.b")
     )
-    return each.join(frequent, ["source", "h", "line"], "left_semi").select(key, (F.col("pos") + 1).cast("int").alias("line_no"))
+    return each.join(frequent, ["source", "a", "b"], "left_semi").select(key, (F.col("pos") + 1).cast("int").alias("line_no"))
 
 
 def remove_site_lines(rows: DataFrame, key: str = "ord", **limits) -> DataFrame:
