@@ -45,6 +45,9 @@ def _to_bytes(page: str) -> dict[str, int]:
 
 TO_BYTES = {page: _to_bytes(page) for page in CODE_PAGES}
 _RUNS = {page: re.compile("[" + "".join(map(re.escape, table)) + "]{2,}") for page, table in TO_BYTES.items()}
+_LEAD = {page: {c for c, b in t.items() if 0xC2 <= b <= 0xF4} for page, t in TO_BYTES.items()}
+_CONT = {page: {c for c, b in t.items() if 0x80 <= b <= 0xBF} for page, t in TO_BYTES.items()}
+_PAIR = {page: re.compile("[" + "".join(map(re.escape, _LEAD[page])) + "][" + "".join(map(re.escape, _CONT[page])) + "]") for page in CODE_PAGES}
 
 
 def multibyte_spans(data: bytes) -> list[tuple[int, int, bool]]:
@@ -117,7 +120,12 @@ def repair(text: str) -> tuple[str, list[str], bool]:
     for _ in range(6):
         best = None
         for page in CODE_PAGES:
+            if not _PAIR[page].search(text):
+                continue
             new, done, cut = _unfold(text, page)
+            if done and not cut and not _PAIR[page].search(new):
+                best = (0, page, new, cut)  # nothing of this page is left to explain
+                break
             if done or cut:
                 # the page that explains most wins; a later page must explain more
                 score = len(text) - len(new) + (2 * cut if not done else 0)
@@ -150,13 +158,10 @@ def _class(chars: set[str]) -> str:
 
 def suspicious(c: Column) -> Column:
     """Whether the automaton could find a span in ``c``: a lead character before a continuation."""
-    pairs = set()
-    for page in CODE_PAGES:
-        t = TO_BYTES[page]
-        lead = {ch for ch, b in t.items() if 0xC2 <= b <= 0xF4}
-        cont = {ch for ch, b in t.items() if 0x80 <= b <= 0xBF}
-        pairs.add(_class(lead) + _class(cont))
-    return c.rlike("|".join(["\ufffd", "[\u0080-\u009f]", "[\u00e0-\u00fa]{3}", "(?<![\\p{L}\\p{N}])\\?\\?", *sorted(pairs)]))
+    lead, cont = _class(set().union(*_LEAD.values())), _class(set().union(*_CONT.values()))
+    # almost all texts fall at the first, cheap expression: no two neighbours beyond ASCII that are not Hebrew
+    guard = c.rlike(r"[^\x00-\x7f\u05d0-\u05ea][^\x00-\x7f]|\ufffd|\?\?")
+    return guard & c.rlike("|".join([lead + cont, r"\ufffd", r"[\u0080-\u009f]", r"[\u00e0-\u00fa]{3}", r"(?<![\p{L}\p{N}?])\?\?"]))
 
 
 FOUND = pa.schema([("ord", pa.int64()), ("field", pa.string()), ("stored", pa.string()), ("restored", pa.string()), ("pages", pa.list_(pa.string())), ("whole", pa.bool_())])
