@@ -27,7 +27,7 @@ MIN_CHARS = 25
 MIN_ROWS = 5
 MIN_SHARE = 0.05
 #: White space other than the line break, no-break spaces included (fixed values).
-_OTHER = r"\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　"
+_OTHER = r"\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs to be made one space; a single plain space already is one.
 SPACE = rf"[ {_OTHER}]{{2,}}|[{_OTHER}]"
 
