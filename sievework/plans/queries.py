@@ -1,6 +1,8 @@
-"""Registered queries over the driver's tables and the SQL that must give the same rows."""
+"""All registered queries of the core and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import q_text
+
+QUERIES = {**q_text.reg.queries}
+SQL = {**q_text.reg.sql}
