@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-HEBREW = "\\u0590-\\u05ff"
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -46,10 +44,8 @@ class Rules:
     )
     #: vocabulary of tags in the order of the output
     vocabulary: tuple[str, ...] = ("python", "java", "c++", "c#", "go", "rust", "sql", "kafka", "spark", "docker", "kubernetes", "linux", "git", "react", "node", "verilog", "uvm", "rtos")
-    #: pay tiers: name -> (low, high) of a band in thousands, by ordered company lists
-    tiers: tuple[tuple[str, tuple[str, ...], int, int], ...] = (("top", ("merrabria", "mavdumovorn"), 34, 46), ("defence", ("sargaric", "orzurel"), 28, 38), ("broker", ("zelsozulox",), 20, 28))
-    other_tier: tuple[int, int] = (24, 34)
-    unknown_tier: tuple[int, int] = (22, 32)
+    #: ordered company rules: label -> names; the first that matches wins
+    company_rules: tuple[tuple[str, tuple[str, ...]], ...] = (("large", ("merrabria", "mavdumovorn")), ("hardware", ("sargaric", "orzurel")), ("broker", ("zelsozulox",)))
 
 
 RULES = Rules()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import url_norm
+from .checkpoint import cut
 from .relational import first_per_key
 
 
@@ -30,14 +31,14 @@ def finish_bucket(rows: DataFrame, drops: list[tuple[str, DataFrame]], cap: int
     Only links are windowed for repeats (rows without one leave first), and the cap takes a
     top-k instead of ranking all rows in one task.
     """
-    tagged = drop_causes(rows, drops)
+    tagged = cut(drop_causes(rows, drops).withColumn("_id", F.monotonically_increasing_id()))
     alive = tagged.filter("cause is null")
-    once = first_per_key(alive, url_norm("url"), order)
+    once = cut(first_per_key(alive, url_norm("url"), order))
     kept = once.orderBy(*order).limit(cap) if cap is not None else once
-    mark = lambda df, name: df.select("ord").withColumn(name, F.lit(True))
-    out = tagged.join(mark(once, "_once"), "ord", "left").join(mark(kept, "_kept"), "ord", "left")
+    mark = lambda df, name: df.select("_id").withColumn(name, F.lit(True))
+    out = tagged.join(mark(once, "_once"), "_id", "left").join(mark(kept, "_kept"), "_id", "left")
     fate = F.when(F.col("cause").isNotNull(), F.col("cause")).when(F.col("_once").isNull(), "dup-url").when(F.col("_kept").isNull(), "cap").otherwise("kept")
-    return out.withColumn("fate", fate).drop("_once", "_kept", "cause")
+    return out.withColumn("fate", fate).drop("_once", "_kept", "cause", "_id")
 
 
 def count_by_reason(rows: DataFrame) -> DataFrame:

@@ -107,8 +107,11 @@ def routed(c: DataFrame, r: Rules = RULES) -> DataFrame:
 
 
 def bucket_rows(c: DataFrame) -> DataFrame:
-    """One row for each route, in the shape of a bucket file."""
-    return c.select("ord", F.explode("routes").alias("r"), "company", "title", "url", "region", "city", "source", F.left(T.text("desc"), F.lit(700)).alias("desc"), "junior_title").select(
+    """One row for each route, in the shape of a bucket file.
+
+    The outer explode keeps the optimizer from copying the whole decision list into a filter.
+    """
+    return c.select("ord", F.explode_outer("routes").alias("r"), "company", "title", "url", "region", "city", "source", F.left(T.text("desc"), F.lit(700)).alias("desc"), "junior_title").filter("r is not null").select(
         "ord", "r.bucket", "r.reason", "company", F.col("title").alias("role"), "url", "region", F.col("city").alias("loc"), F.col("source").alias("src"), "desc", "junior_title"
     )
 
@@ -119,20 +122,3 @@ def rule_failure(r: Rules = RULES) -> Column:
         F.when(T.has_word("role", r.skip_words), "foundation-gap").when(is_senior("role", r), "senior").when(is_student("role", r), "student")
         .when(F.col("region").isin(*r.drop_regions), F.concat(F.lit("region-"), F.col("region")))
     )
-
-
-def pay_track(role, why) -> Column:
-    """Kind of work behind a role: swe, qa-manual or test-eng."""
-    manual, test = T.has_word(role, ("manual",)), T.has_word(role, ("test", "qa", "verification"))
-    return F.when(T.has_word(role, ("developer", "programmer")), "swe").when(manual | (test & T.has_word(why, ("manual",))), "qa-manual").when(test, "test-eng").otherwise("swe")
-
-
-def pay_band(company, region, track, r: Rules = RULES) -> Column:
-    """struct<lo, hi> by the first tier that names the company; less in the North and for tests; floors 12 and 13."""
-    band = lambda lo, hi: F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-    out = F.when(T.name_norm(company) == "", band(*r.unknown_tier))
-    for _, names, lo, hi in r.tiers:
-        out = out.when(T.company_is(company, names), band(lo, hi))
-    out = out.otherwise(band(*r.other_tier))
-    less = F.when(T.col(region) == "North", 1).otherwise(0) + F.when(T.col(track) == "qa-manual", 6).when(T.col(track) == "test-eng", 3).otherwise(0)
-    return T.let(out, lambda b: F.struct(F.greatest(b["lo"] - less, F.lit(12)).alias("lo"), F.greatest(b["hi"] - less, F.lit(13)).alias("hi")))

@@ -16,11 +16,11 @@ def first_per_key(df: DataFrame, key: Column, order: list, keep_empty: bool = Tr
 
     Rows without a key leave before the window, so a large share of them makes no hot group.
     """
-    keyed = df.withColumn("_k", key)
-    empty = F.col("_k").isNull() | (F.col("_k") == "")
-    w = Window.partitionBy("_k").orderBy(*order)
+    keyed = df.withColumn("_key", key)
+    empty = F.col("_key").isNull() | (F.col("_key") == "")
+    w = Window.partitionBy("_key").orderBy(*order)
     first = keyed.filter(~empty).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return (first.unionByName(keyed.filter(empty)) if keep_empty else first).drop("_k")
+    return (first.unionByName(keyed.filter(empty)) if keep_empty else first).drop("_key")
 
 
 def merge_new_over_existing(new: DataFrame, existing: DataFrame, key: Column, order: list) -> DataFrame:

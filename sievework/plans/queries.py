@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_text
+from . import q_page, q_rel, q_text
 
-QUERIES = {**q_text.reg.queries}
-SQL = {**q_text.reg.sql}
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+for _m in (q_text, q_rel, q_page):
+    QUERIES |= _m.reg.queries
+    SQL |= _m.reg.sql
