@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_page, q_rel, q_text
+from . import q_page, q_rel, q_stream, q_text
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**q_stream.QUERIES}
+SQL: dict[str, str] = {**q_stream.SQL}
 for _m in (q_text, q_rel, q_page):
     QUERIES |= _m.reg.queries
     SQL |= _m.reg.sql
