@@ -177,7 +177,8 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def survivors(rows: DataFrame, trust: DataFrame) -> DataFrame:
-    """One surviving record for each group of two or more rows."""
+    """One surviving record for each group of two or more rows; columns it does not read may clash."""
+    rows = rows.select("row_id", "company", "role", "loc", "url", "src", "region", "verdict", "match", "pulled_at", "dups")
     groups = components(link_edges(rows))
     cands = candidates(rows, groups, trust)
     packed = cands.groupBy("group_id").agg(F.collect_list(F.struct("bundle", "fd", "row_id", "vals", "score")).alias("cands"))

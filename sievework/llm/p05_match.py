@@ -10,7 +10,8 @@ by posting numbers) and calibrated on a held-out half; the probability is the co
 Scale: equal rows are one profile; pairs are made between profiles and joined with their members
 at the end, so copies cost nothing in the search. Three attributes are needed for a block, which
 keeps the block of a company with a third of all rows apart by position and place. The classifier
-is fitted on at most ``MAX_LABELS`` pairs drawn by hash; scoring is a JVM expression.
+is fitted on counts of all labelled pairs' feature vectors (flags, so few distinct ones); scoring
+is a JVM expression.
 
 Defined results: a null, empty or masked attribute is unknown and neither joins nor parts; rows
 with fewer than two known attributes match only by number; ties are all returned; repeated rows
@@ -33,7 +34,6 @@ from .p07_places import named_places, with_copy_region
 
 BANDS = 32
 THRESHOLD = 0.5
-MAX_LABELS = 50_000
 
 #: Masked employers (fixed values).
 MASKED = {"", "masked", "confidential", "חסוי", "חסויה", "undisclosed", "company", "anonymous"}
@@ -180,13 +180,14 @@ def features(pairs: DataFrame) -> DataFrame:
     )
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Weights (bias last) of a ridge-regularised logistic regression, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Weights (bias last) of a ridge-regularised logistic regression over weighted rows, by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
+    n = np.ones(len(x)) if weight is None else weight
     w, pen = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], ridge), 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + np.diag(pen), a.T @ (y - p) - pen * w)
+        step = np.linalg.solve((a.T * (n * p * (1 - p) + 1e-9)) @ a + np.diag(pen), a.T @ (n * (y - p)) - pen * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -198,17 +199,21 @@ PRIOR = np.array([4.0, 3.0, 2.0, -6.0, 4.0, 2.0, -6.0, 2.0, -6.0, -5.0, 2.5, -5.
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(weights, slope, shift): classifier from one half, Platt calibration from the other."""
-    sample = labelled.select(*FEATURES, "label", F.xxhash64("a_pid", "b_pid").alias("h")).orderBy("h").limit(MAX_LABELS).toPandas()
-    x, y = sample[FEATURES].to_numpy(float), sample["label"].to_numpy(float)
-    half = (sample["h"].to_numpy() % 2 == 0) if len(sample) else np.zeros(0, bool)
-    if min((y[half] > 0).sum(), (y[half] == 0).sum(), (y[~half] > 0).sum(), (y[~half] == 0).sum()) < 10:
+    """(weights, slope, shift): classifier from one half of the labels, Platt calibration from the other.
+
+    Features are flags, so all labelled pairs come as counts of their distinct vectors: at most
+    two halves x two labels x 2^12 rows, whatever the number of pairs.
+    """
+    half = F.pmod(F.xxhash64("a_pid", "b_pid"), F.lit(2)).alias("half")
+    rows = labelled.groupBy(*FEATURES, "label", half).agg(F.count("*").alias("n")).collect()
+    t = np.array([[float(v) for v in r] for r in rows]).reshape(len(rows), len(FEATURES) + 3)
+    x, y, first, n = t[:, : len(FEATURES)], t[:, -3], t[:, -2] == 0, t[:, -1]
+    if min(n[h & (y == v)].sum() for h in (first, ~first) for v in (0, 1)) < 10:
         return PRIOR, 1.0, 0.0
-    blind = x.copy()
-    blind[:, 0] = 0  # the number made the label; the other features must explain it
-    w = fit_logistic(blind[half], y[half])
-    z = blind[~half] @ w[:-1] + w[-1]
-    slope, shift = fit_logistic(z[:, None], y[~half], ridge=1e-3)
+    x[:, 0] = 0  # the number made the label; the other features must explain it
+    w = fit_logistic(x[first], y[first], n[first])
+    z = x[~first] @ w[:-1] + w[-1]
+    slope, shift = fit_logistic(z[:, None], y[~first], n[~first], ridge=1e-3)
     w[0] = PRIOR[0]
     return w, float(slope), float(shift)
 
