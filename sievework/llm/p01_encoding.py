@@ -105,6 +105,8 @@ def _unfold(text: str, page: str) -> tuple[str, int, int]:
 _LATIN_RUN = re.compile("[\u00e0-\u00fa\u00f7]{3,}")
 _LATIN_ANY = re.compile("(?<![A-Za-z\u00c0-\u00ff])[\u00e0-\u00fa\u00f7]+")
 _MARKS = re.compile("(?<![^\\W_])\\?{2,}")
+#: Letters that restored text hardly ever holds.
+_RARE = re.compile("[\u0100-\u0151\u0154-\u015f\u0162-\u0177\u0179-\u017c\u0370-\u04ff]")
 _LOST = re.compile("\ufffd")
 
 
@@ -123,12 +125,13 @@ def repair(text: str) -> tuple[str, list[str], bool]:
             if not _PAIR[page].search(text):
                 continue
             new, done, cut = _unfold(text, page)
-            if done and not cut and not _PAIR[page].search(new):
-                best = (0, page, new, cut)  # nothing of this page is left to explain
-                break
             if done or cut:
-                # the page that explains most wins; a later page must explain more
-                score = len(text) - len(new) + (2 * cut if not done else 0)
+                # the page that explains most wins, letters that hardly occur count against it; the earlier wins ties
+                rare = len(_RARE.findall(new)) - len(_RARE.findall(text))
+                score = len(text) - len(new) - 4 * max(rare, 0) + (2 * cut if not done else 0)
+                if best is None and not cut and rare <= 0 and not _PAIR[page].search(new):
+                    best = (score, page, new, cut)  # nothing of this page is left to explain
+                    break
                 if best is None or score > best[0]:
                     best = (score, page, new, cut)
         if best is None:
