@@ -121,7 +121,8 @@ _LOC = "trim(regexp_replace(translate(lower(coalesce(city, '')), '’׳`´-־–
 _NAME = "trim(regexp_replace(translate(lower(n), '’׳`´-־–—', chr(39) || chr(39) || chr(39) || chr(39) || '    '), '\\s+', ' ', 'g'))"
 
 
-@reg.add("postings", "places", sql=f"""
+#: ord, region of each posting's city.
+REGION_SQL = f"""
 WITH names AS (SELECT region, {_NAME} AS n FROM (SELECT region, unnest([name_en, name_he]) AS n FROM places) WHERE trim(n) <> ''),
 loc AS (SELECT ord, {_LOC} AS s FROM postings),
 parts AS (SELECT ord, s, part FROM (SELECT ord, s, unnest(string_split_regex(s, ' *(?:[,/|;•·\\n]|\\band\\b|&) *')) AS part FROM loc) WHERE part <> ''),
@@ -133,7 +134,10 @@ k AS (SELECT ord, list(DISTINCT coalesce(hit.k, 5)) AS ks FROM parts JOIN hit US
 SELECT loc.ord, CASE WHEN ks IS NULL THEN 'Unknown' WHEN list_contains(ks, 1) THEN 'North' WHEN ks = [3] THEN 'Jerusalem' WHEN list_has_all([2, 3], ks) THEN 'South'
   WHEN ks = [4] THEN CASE WHEN regexp_matches(s, 'israel|ישראל') THEN 'Unknown' ELSE 'Abroad' END
   WHEN list_has_all([2, 3, 4], ks) THEN CASE WHEN list_contains(ks, 3) AND NOT list_contains(ks, 2) THEN 'Jerusalem' ELSE 'South' END ELSE 'Center' END AS region
-FROM loc LEFT JOIN k USING (ord)""")
+FROM loc LEFT JOIN k USING (ord)"""
+
+
+@reg.add("postings", "places", sql=REGION_SQL)
 def q_region_of(postings: DataFrame, places: DataFrame) -> DataFrame:
     """Region of each posting's city."""
     return postings.select("ord", G.region_of("city", G.place_terms(places), R.generic_places).alias("region"))

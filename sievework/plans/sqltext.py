@@ -53,7 +53,7 @@ def title_key(x: str) -> str:
 
 
 def url_norm(x: str) -> str:
-    return f"regexp_replace(trim(coalesce({x}, '')), '/+$', '')"
+    return f"regexp_replace(coalesce({x}, ''), '^\\s+|/*\\s*\\z', '', 'g')"
 
 
 def host(x: str) -> str:
