@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,10 @@ from ..functions.rules import RULES, Rules
 from ..functions.text import text, title_key, url_norm
 
 
+if TYPE_CHECKING:
+    import pandas as pd
+
+
 def _host(u: str) -> str:
     m = re.match(r"[a-z][a-z0-9+.-]*://([^/:?#]+)", (u or "").strip(" <>\n").lower())
     return m.group(1) if m else ""
@@ -65,6 +69,8 @@ def collapse_copies(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
     boards = rules.boards
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # in the worker only: the driver needs none
+
         for pdf in batches:
             out = []
             for k, rs in zip(pdf["key"], pdf["rs"], strict=True):
