@@ -21,14 +21,17 @@ Defined results: rows without any link stand alone and form no group; missing fi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import blank_to_null, cut, query_reading
 from .links import posting_key
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Trust of a source that the list does not name: after all others.
 UNLISTED = 1_000_000
 #: Score bands of a verdict (fixed values): low, high.
@@ -158,6 +161,8 @@ SURVIVOR = "group_id bigint, row_id bigint, url string, src string, company stri
 
 
 def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pandas as pd  # in the worker only: the driver needs none
+
     for pdf in batches:
         out = []
         for gid, cands in zip(pdf["group_id"], pdf["cands"], strict=True):
