@@ -5,12 +5,14 @@ length that far more texts share than its neighbourhood, most of them without a
 Texts at a spike length without terminal punctuation are cut (and those with one too, where the
 spike holds far more of them than chance). Beside that: a mark at the cut (an ellipsis, "[more]"),
 and, for cuts in mid-transfer at any length, the last words: a final line without terminal
-punctuation is cut when its last two words close no other line of the corpus, when they close
-lines but never texts (section headings), or when all other lines of the text end in a full stop.
+punctuation is cut when its last two words close no other line of the corpus, when they (the last
+one whole or as the beginning of a word) go on inside lines far more often than they end anything,
+when they close lines but never texts (section headings), or when all other lines of the text end
+in a full stop. Going on and ending grow alike with the corpus, so that ratio holds at any size.
 
-Scale: histograms and word counts are map-side combined; windows run over distinct lengths of a
-source, not over its rows, so a source with a third of all rows is no hot group. Everything
-stays in JVM expressions.
+Scale: histograms and counts of word pairs are map-side combined; prefixes are made of distinct
+pairs only and joined by equality; windows run over distinct lengths of a source, not over its
+rows, so a source with a third of all rows is no hot group. Everything stays in JVM expressions.
 
 Defined results: null, empty and blank texts are not cut; a text that ends in a line break is
 complete unless it stands on a spike; copies of a text count once in a histogram and come out
@@ -32,6 +34,8 @@ TERMINAL = r"[.!?:;)”»…☕]$"
 BULLET = r"^[-–•*·]"
 #: A spike has this many texts and this many times the mean of its neighbourhood.
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 5, 10, 25
+#: Words that go on so many times as often as they end are cut; so many characters of the last word are compared.
+GOES_ON, LONGEST = 10, 64
 
 
 def _tail(line):
@@ -84,16 +88,40 @@ def spikes(facts: DataFrame) -> DataFrame:
     )
 
 
-def line_tails(rows: DataFrame) -> DataFrame:
-    """``tail, n_inner, n_final``: how often two words close a line inside and at the end of a text."""
-    lines = F.split(F.translate(F.lower(F.rtrim("desc", F.lit(" \r\n\t "))), "012345678", "999999999"), "\n")
+def line_pairs(rows: DataFrame) -> DataFrame:
+    """``pair, n_in, n_inner``: how often two neighbouring words stand in a text, its end left out, and how often they close a line there.
+
+    The first word of a line counts as a pair of its own, so a line of one word has a tail as well.
+    """
+    lines = F.split(F.translate(F.lower(F.rtrim("desc", F.lit(" \r\n\t "))), "012345678", "999999999"), "\n")
+    words = F.split(F.rtrim(F.col("line"), F.lit(" .\r\t ")), " ")
     return (
         rows.filter("trim(desc) <> ''").select(lines.alias("lines"))
-        .select(F.size("lines").alias("k"), F.posexplode("lines").alias("i", "line"))
-        .groupBy(_tail(F.col("line")).alias("tail"))
-        .agg(F.sum(F.when(F.col("i") < F.col("k") - 1, 1).otherwise(0)).alias("n_inner"), F.sum(F.when(F.col("i") == F.col("k") - 1, 1).otherwise(0)).alias("n_final"))
-        .filter("tail <> ''")
+        .select(F.size("lines").alias("m"), F.posexplode("lines").alias("j", "line"))
+        .select((F.col("j") == F.col("m") - 1).alias("end"), words.alias("words"))
+        .select("end", F.size("words").alias("k"), F.posexplode(F.arrays_zip(F.concat(F.array(F.lit("")), "words").alias("a"), F.col("words").alias("b"))).alias("i", "w"))
+        .filter("i < k - 1 or i = k - 1 and not end").select(F.when(F.col("i") == 0, F.col("w.b")).otherwise(F.concat("w.a", F.lit(" "), "w.b")).alias("pair"), (F.col("i") == F.col("k") - 1).cast("int").alias("closes"))
+        .groupBy("pair").agg(F.count("*").alias("n_in"), F.sum("closes").alias("n_inner"))
+        .filter("pair <> ''")
+    )
+
+
+def tail_counts(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``tail, n_inner, n_final, n_texts, n_on``: how often the last two words of a text close inner lines, texts and
+    distinct texts, and how often they, or words that begin like them, go on inside a line."""
+    finals = (
+        facts.groupBy("tail", "h").agg(F.count("*").alias("n"), F.max(~F.col("terminal") & ~F.col("closed")).alias("open"))
+        .groupBy("tail").agg(F.sum("n").alias("n_final"), F.count("*").alias("n_texts"), F.max("open").alias("open"))
     )
+    inner = pairs.filter("n_inner > 0").select(F.col("pair").alias("tail"), "n_inner")
+    tails = cut(finals.filter("tail <> ''").join(inner, "tail", "left").fillna(0, ["n_inner"]).filter("n_inner >= 1 or n_texts >= 3"))
+    # prefixes of the second word join by equality; past LONGEST characters of it the rest is not compared
+    head = F.length("pair") - F.length(F.substring_index("pair", " ", -1))
+    upto = lambda n: F.substring("pair", F.lit(1), n)
+    begun = pairs.select("n_in", F.explode(F.transform(F.sequence(head, F.least(F.length("pair"), head + LONGEST)), upto)).alias("start"))
+    asked = tails.filter("open and n_inner < n_final").select("tail", F.substring("tail", F.lit(1), F.length("tail") - F.length(F.substring_index("tail", " ", -1)) + LONGEST).alias("start"))
+    on = asked.join(begun, "start").groupBy("tail").agg(F.sum("n_in").alias("n_begun"))
+    return tails.join(on, "tail", "left").select("tail", "n_inner", "n_final", "n_texts", (F.coalesce("n_begun", F.lit(0)) - F.col("n_inner")).alias("n_on"))
 
 
 def cut_texts(rows: DataFrame, key: str = "ord") -> DataFrame:
@@ -103,17 +131,17 @@ def cut_texts(rows: DataFrame, key: str = "ord") -> DataFrame:
     chars = at.filter("measure = 'chars'").select("source", F.col("len").alias("chars"), F.col("near").alias("near_c"), F.col("full").alias("full_c"))
     octets = at.filter("measure = 'bytes'").select("source", F.col("len").alias("bytes"), F.col("near").alias("near_b"), F.col("full").alias("full_b"))
     open_end = ~F.col("terminal") & ~F.col("closed")
-    # two words that close inner lines of at least three other texts close a line for good; a
-    # heading closes many lines and hardly ever a text
-    tails = line_tails(rows).filter("n_inner >= 1 or n_final >= 3")
+    # two words that go on far more often than they end anything were cut, however many texts end
+    # there; a heading closes many lines and hardly ever a text
+    tails = tail_counts(facts, cut(line_pairs(rows)))
     judged = facts.join(chars, ["source", "chars"], "left").join(octets, ["source", "bytes"], "left").join(tails, "tail", "left")
-    inner, final = F.coalesce("n_inner", F.lit(0)), F.coalesce("n_final", F.lit(0))
+    inner, final, on = F.coalesce("n_inner", F.lit(0)), F.coalesce("n_final", F.lit(0)), F.coalesce("n_on", F.lit(0))
     often_last = final >= 0.25 * (inner + final)
     how = (
         F.when(F.col("mark") & ~F.col("phrase"), "mark")
         .when((F.col("near_c").isNotNull() & (open_end | F.col("full_c"))) | (F.col("near_b").isNotNull() & (open_end | F.col("full_b"))), "spike")
         .when(F.col("closed") | F.col("terminal") & ~F.col("tail").endswith(":"), F.lit(None))
-        .when((inner == 0) & (final < 3), "words")
+        .when((inner == 0) & (F.coalesce("n_texts", F.lit(0)) < 3) | (inner < final) & (on >= GOES_ON * (inner + final)), "words")
         .when((inner >= 300) & (final < inner / 300), "heading")
         .when(F.col("bul") & (F.col("n_bul") >= 2) & (F.col("n_bul_stop") == F.col("n_bul")) & ~often_last, "style")
         .when((F.col("n_body") >= 4) & (F.col("n_stop") == F.col("n_body")) & ~often_last, "style")

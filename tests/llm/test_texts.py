@@ -81,6 +81,17 @@ def test_cut_texts_edges(spark):
     assert p3.cut_texts(_posts(spark, rows).limit(0)).count() == 0
 
 
+def test_cuts_that_share_their_last_words_are_found(spark):
+    rnd = random.Random(7)
+    body = lambda n: "\n".join(f"Years of experience with {rnd.choice('abcdef') * rnd.randrange(2, 30)} and tools" for _ in range(n))
+    ends = ["Years of expe", "Years of experience with", "Years of", "Ye"]
+    for times in (1, 12):  # the more rows, the more texts are cut at the same words
+        rows = [(i, "s", f"{body(3 + i % 9)}\n{ends[i % 4]}", "x") for i in range(4 * times)]
+        rows += [(1000 + i, "s", f"{body(3 + i % 9)}\nApply right here", "x") for i in range(40 * times)]  # closes texts only, and never goes on
+        rows += [(5000 + i, "s", f"{body(3 + i % 9)} ", "x") for i in range(40 * times)]
+        assert {r.ord for r in p3.cut_texts(_posts(spark, rows)).collect()} == set(range(4 * times))
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return p8.load_ranks(f"{p8.TOKENIZERS}/byte_bpe_50k.tiktoken")
