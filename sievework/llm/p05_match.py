@@ -4,6 +4,8 @@ Method: every row is reduced to partial attributes - employer (a consonant skele
 scripts share), project, level, position, place, linked posting numbers. MinHash blocking across
 attributes: a band is the three attributes with the smallest hashes under one permutation, so
 two rows meet when any three attributes agree; rows that name the same posting number meet too.
+What the accept rule takes without a number meets by exact keys as well: title, project (each
+spelling at most two edits away) and place, or no place on one side; no such pair rests on chance.
 Pairwise similarity features go to a logistic classifier trained on weak labels (pairs decided
 by posting numbers) and calibrated on a held-out half; the probability is the confidence.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checked_broadcast, cut, query_reading
@@ -155,6 +157,37 @@ def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one.withColumn("keys", keys).drop("tokens"), tagged.select("pid", "id")
 
 
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``l, r``: all words of ``left`` (``l``) and ``right`` (``r``) at most two edits apart.
+
+    Of three pieces of a word two edits leave one whole, and move it by two places at most.
+    """
+    pieces = "transform(sequence(0, 2), i -> concat_ws('|', length(l), i, substr(l, cast(i * length(l) div 3 + 1 as int), cast((i + 1) * length(l) div 3 - i * length(l) div 3 as int))))"
+    probes = "flatten(transform(sequence(greatest(length(r) - 2, 0), length(r) + 2), n -> flatten(transform(sequence(0, 2), i -> transform(sequence(-2, 2), d -> concat_ws('|', n, i, substr(r, cast(i * n div 3 + 1 + d as int), cast((i + 1) * n div 3 - i * n div 3 as int))))))))"
+    some = left.distinct().select("l", F.explode(F.expr(pieces)).alias("k")).join(right.distinct().select("r", F.explode(F.array_distinct(F.expr(probes))).alias("k")), "k")
+    return some.select("l", "r").distinct().filter(F.levenshtein("l", "r") <= 2)
+
+
+def exact_keys(one: DataFrame, side: str, projects: Column) -> DataFrame:
+    """``pid, k``: keys that two profiles share wherever the accept rule can take them without a number.
+
+    It asks for one title, one project (``projects``: the spellings to look for) and a place or,
+    with the place missing on one side, an employer in common. ``side`` is a or b.
+    """
+    title = F.concat("level", F.lit("/"), "position")
+    unknown = F.col("places").isNull()
+    met = F.lit("=a" if side == "a" else "=b"), F.lit("=b" if side == "a" else "=a")
+    where = F.concat(
+        F.transform(F.coalesce("places", F.expr("array()").cast("array<string>")), lambda x: F.concat(F.lit("=o"), x)),
+        # a side without a place meets all of the other side that know an employer
+        F.when(F.col("sk").isNotNull(), F.when(unknown, F.array(*met)).otherwise(F.array(met[1]))).otherwise(F.expr("array()").cast("array<string>")),
+    )
+    return (
+        one.filter("position is not null and project is not null").select("pid", title.alias("t"), F.explode(projects).alias("p"), where.alias("where"))
+        .select("pid", "t", "p", F.explode("where").alias("w")).select("pid", F.concat_ws("|", "w", "t", "p").alias("k"))
+    )
+
+
 FEATURES = ["same_number", "employer_same", "employer_near", "employer_diff", "project_same", "project_near", "project_diff", "title_same", "level_diff", "position_diff", "place_same", "place_diff"]
 
 
@@ -241,7 +274,12 @@ def matches(page: DataFrame, agency: DataFrame, places: DataFrame, threshold: fl
     pa_, ma = profiles(a)
     pb_, mb = profiles(b)
     pa_, pb_ = cut(pa_), cut(pb_)
-    cand = pa_.select(F.col("pid").alias("a_pid"), F.explode("keys").alias("k")).join(pb_.select(F.col("pid").alias("b_pid"), F.explode("keys").alias("k")), "k").select("a_pid", "b_pid").distinct()
+    spelt = near_words(pa_.filter("project is not null").select(F.col("project").alias("l")), pb_.filter("project is not null").select(F.col("project").alias("r")))
+    spelt = cut(spelt.groupBy(F.col("l").alias("project")).agg(F.collect_list("r").alias("spelt")))
+    banded = lambda d: d.select("pid", F.explode("keys").alias("k"))
+    ka = banded(pa_).union(exact_keys(pa_.join(spelt, "project"), "a", F.col("spelt"))).withColumnRenamed("pid", "a_pid")
+    kb = banded(pb_).union(exact_keys(pb_, "b", F.array("project"))).withColumnRenamed("pid", "b_pid")
+    cand = ka.join(kb, "k").select("a_pid", "b_pid").distinct()
     named = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ["pid", *PROFILE]))
     pairs = cut(features(cand.join(named(pa_, "a"), "a_pid").join(named(pb_, "b"), "b_pid")).select("a_pid", "b_pid", *FEATURES, (F.size("b_numbers") > 0).alias("numbered")))
     # weak labels: listings with a number; other rows of the same opening are left out

@@ -153,6 +153,23 @@ def test_matches_edges(spark):
     assert p5.matches(page.limit(0), agency.limit(0), places).count() == 0
 
 
+def test_near_words_equal_all_pairs(spark):
+    rnd = random.Random(9)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 10))) for _ in range(120)})
+    df = spark.createDataFrame([(w,) for w in words], "l string")
+    assert {tuple(r) for r in p5.near_words(df, df.withColumnRenamed("l", "r")).collect()} == {(a, b) for a in words for b in words if p5.edits(a, b, 2) <= 2}
+
+
+def test_matches_meet_without_three_equal_attributes(spark):
+    places = spark.createDataFrame([(1, "Kfar Novorgev", None, "North")], "place_id long, name_en string, name_he string, region string")
+    one = lambda i, c, r, loc: (i, c, r, loc, f"https://b.example/job/{200000 + i}", None, "", None, None, T0, None, 1, 1)
+    page = spark.createDataFrame([one(1, "Acmeron", "Senior Data Engineer, Orlinax", None), one(2, "Zorvalin", "Backend Engineer, Mikuvela", "Novorgev"), one(3, "Zorvalin", "Backend Engineer, Mikuvela", None)], PAGE)
+    agency = [(10, "Acmeronlabs", "Senior Data Engineer, Orlinax", "Novorgev"), (11, None, "Backend Engineer, Mikuvla", "Novorgev"), (12, "Zorvalyn", "Backend Engineer, Mykuvla", None), (13, "Acmeron", "Data Engineer, Orlinax", None)]
+    b = spark.createDataFrame([(i, c, r, loc, f"https://a.test/v/{500000 + i}", None) for i, c, r, loc in agency], "listing_id long, company string, role string, loc string, url string, row_id string")
+    got = {(r.row_id, r.listing_id) for r in p5.matches(page, b, places, threshold=0.0).collect()}  # the accept rule alone
+    assert got == {(1, 10), (2, 11), (2, 12), (3, 12)}
+
+
 @pytest.mark.parametrize("name", sorted(llm.SQL))
 def test_sql(name, spark, data, duck):
     from conftest import same_rows
