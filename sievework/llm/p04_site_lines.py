@@ -38,8 +38,8 @@ def norm_lines(text: Column) -> Column:
 
 
 def line_id(line: Column) -> Column:
-    """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    """128 bits that stand for a line: the line hashed from two seeds, neither half follows from the other."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def frequent_lines(rows: DataFrame, min_chars: int = MIN_CHARS, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:

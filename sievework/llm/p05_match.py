@@ -1,19 +1,24 @@
 """Problem 5: match records of two tables that share no key.
 
 Method: every row is reduced to partial attributes - employer (a consonant skeleton that both
-scripts share), project, level, position, place, linked posting numbers. MinHash blocking across
-attributes: a band is the three attributes with the smallest hashes under one permutation, so
-two rows meet when any three attributes agree; rows that name the same posting number meet too.
-What the accept rule takes without a number meets by exact keys as well: title, project (each
-spelling at most two edits away) and place, or no place on one side; no such pair rests on chance.
-Pairwise similarity features go to a logistic classifier trained on weak labels (pairs decided
-by posting numbers) and calibrated on a held-out half; the probability is the confidence.
-
-Scale: equal rows are one profile; pairs are made between profiles and joined with their members
-at the end, so copies cost nothing in the search. Three attributes are needed for a block, which
-keeps the block of a company with a third of all rows apart by position and place. The classifier
-is fitted on counts of all labelled pairs' feature vectors (flags, so few distinct ones); scoring
-is a JVM expression.
+scripts share), project, level and position, places, linked posting numbers. A position is a known
+spelling of a kind of work or, for any other, the words of the title themselves, so titles nobody
+listed match as well. MinHash blocking across attributes: a key is two attributes as they are and a
+MinHash of the letter pairs of a third (``SIGNATURES`` hash functions), so two rows meet when any
+three attributes agree, and also when one of the three is misspelt and the fourth is missing; rows
+that name the same posting number meet too. Pairwise similarity features go to a logistic
+classifier. Weak labels: a listing that names a posting's number is known in full through that
+posting, so its pairs are labelled by full knowledge while their features come from what the
+listing itself says; the classifier learns how much partial evidence is enough. Calibration (Platt)
+is fitted on a held-out half; the probability alone decides, and is the confidence. A shared number
+is evidence of its own: its confidence is the measured share of such pairs that nothing contradicts.
+
+Scale: both tables go through one pass; equal rows are one profile (known by 128 bits) and pairs are
+made between profiles and joined with their members at the end, so copies cost nothing in the
+search. A block holds rows that agree in three attributes; what is left of a hot block is split by
+adaptive skew handling of the sort-merge join. The plan is cut twice, so no stage of it is long.
+The classifier is fitted on counts of all labelled pairs' feature vectors (flags, so few distinct
+ones); scoring is a JVM expression.
 
 Defined results: a null, empty or masked attribute is unknown and neither joins nor parts; rows
 with fewer than two known attributes match only by number; ties are all returned; repeated rows
@@ -30,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, cut, query_reading
-from .p02_survivor import components, link_edges
+from ._common import cut, let, query_reading
+from .links import posting_key
 from .p07_places import named_places, with_copy_region
 
-BANDS = 32
+#: Hash functions for the attribute of a block that may be misspelt.
+SIGNATURES = 4
 THRESHOLD = 0.5
 
 #: Masked employers (fixed values).
@@ -43,11 +49,13 @@ MASKED = {"", "masked", "confidential", "חסוי", "חסויה", "undisclosed",
 COMPANY_NOISE = re.compile(r"^the |\b(?:company|corp|ltd|inc|gmbh|llc)\b\.?|בע[\"״]מ|[-–] ?r&d center|^חברת ")
 #: Levels and how they are written (fixed values).
 LEVELS = {
-    "junior": r"junior|jr|jun|entry[ -]level|מתחיל/?ה?|מתחיל/ה", "senior": r"senior|sr|snr|sen|בכיר/?ה?", "lead": r"team lead|lead|ld|מוביל/?ה?|ראש צוות", "staff": r"staff",
+    "junior": r"junior|jr|jun|entry[ -]level|מתחיל/?ה?|מתחיל/ה", "senior": r"senior|sr|snr|sen|בכיר/?ה?", "lead": r"team lead|lead|ld|ראש צוות", "leading": r"מוביל/?ה?", "staff": r"staff",
     "principal": r"principal|princ|ראשי/?ת?", "student": r"student|undergrad|intern|סטודנט/?י?ת?",
 }
+#: A word that may stand for several levels, and what it means where the postings do not tell.
+AMBIGUOUS = {"leading": "lead"}
 _LEVEL = {k: re.compile(rf"(?<![\w/])(?:{v})(?![\w/])\.?") for k, v in LEVELS.items()}
-#: Positions and the words that tell them apart, first match wins (fixed values).
+#: Spellings, short forms and translations of kinds of work, first match wins (fixed values); others stand for themselves.
 POSITIONS = {
     "machine learning": r"machine[ -]learning|\bml\b|למידת מכונה", "test automation": r"automation|אוטומציה", "verification": r"verif|ורפיקציה", "site reliability": r"reliab|\bsre\b|אמינות",
     "product analyst": r"analyst|אנליסט", "security": r"secur|cyber|אבטחה", "integration": r"integr|אינטגרציה", "compiler": r"compil|toolchain|מהדרים", "graphics": r"graphic|render|גרפיקה",
@@ -101,116 +109,144 @@ def attributes(company: str | None, role: str | None) -> tuple[str | None, str |
             r, project = m.groups()
     level = next((k for k, p in _LEVEL.items() if p.search(r)), None)
     if level is None and (ws := r.split()) and len(ws) > 2 and len(ws[0]) > 4:
-        level = next((k for k in LEVELS if edits(ws[0], k, 2) <= (2 if len(k) > 5 else 1)), None)
+        level = next((k for k in LEVELS if k not in AMBIGUOUS and edits(ws[0], k, 2) <= (2 if len(k) > 5 else 1)), None)
     position = next((k for k, p in _POSITION.items() if p.search(r)), None)
     if position is None:
         near = min(((edits(w, k, 2), p) for w in re.findall(r"[a-zא-ת]{4,}", r) for k, p in _KEYWORDS), default=(3, None))
-        position = near[1] if near[0] <= 2 else None
+        position = near[1] if near[0] <= 2 else open_position(r)
     return sk, employer, project, level or "none", position
 
 
-ATTRS = "id bigint, sk string, employer string, project string, level string, position string"
+def open_position(title: str) -> str | None:
+    """What is left of a title that names no listed kind of work: its words without levels, sorted."""
+    for p in _LEVEL.values():
+        title = p.sub(" ", title)
+    return " ".join(sorted(set(re.findall(r"[^\W_]{2,}", title)))) or None
 
 
-def _attribute_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [attributes(c, r) for c, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.string()) for i in range(5))], names=[x.split()[0] for x in ATTRS.split(", ")])
+ATTRS = ("sk", "employer", "project", "level", "position")
+#: What a profile knows.
+KNOWN = (*ATTRS, "places")
+_NONE = "cast(array() as array<string>)"
 
 
-def described(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Attributes of ``rows`` (id, company, role, loc, region): ATTRS and ``places`` (names)."""
-    named = (
-        named_places(rows.select(F.col("id").alias("row_id"), "loc", "region"), places).filter("place_id > 0")
-        .join(F.broadcast(places.select("place_id", "name_en")), "place_id").groupBy(F.col("row_id").alias("id")).agg(F.array_sort(F.collect_set("name_en")).alias("places"))
+def _attribute_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [attributes(c, r) for c, r in zip(b.column("company").to_pylist(), b.column("role").to_pylist(), strict=True)]
+        keep = [b.column(c) for c in ("uid", "links", "numbers")]
+        yield pa.RecordBatch.from_arrays([*keep, *(pa.array([o[i] for o in out], pa.string()) for i in range(5))], names=["uid", "links", "numbers", *ATTRS])
+
+
+def described(page: DataFrame, agency: DataFrame, places: DataFrame) -> DataFrame:
+    """Both tables as ``uid`` (2 x id, + 1 for a listing), ``links``, ``numbers``, KNOWN; checkpointed."""
+    number = lambda u: F.coalesce(F.regexp_extract_all(u, F.lit(r"(\d{6,})(?!\d)"), 1), F.expr(_NONE))
+    urls = F.concat(F.array("url"), F.coalesce("dups.url", F.expr(_NONE)))
+    left = page.select(
+        (F.col("row_id") * 2).alias("uid"), "company", "role", F.array_distinct(F.filter(F.transform(urls, posting_key), lambda k: k.isNotNull())).alias("links"),
+        F.array_distinct(F.flatten(F.transform(urls, number))).alias("numbers"),
     )
-    return rows.select("id", "company", "role").mapInArrow(_attribute_batches, ATTRS).join(named, "id", "left")
-
-
-def filled(rows: DataFrame, group: str) -> DataFrame:
-    """Unknown attributes taken from rows of the same ``group`` (known to be one opening)."""
-    known = rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("_g")).agg(*(F.min(c).alias(f"_{c}") for c in ("sk", "employer", "project", "position", "places")))
-    level = rows.filter(F.col(group).isNotNull() & F.col("position").isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.min("level").alias("_level"))
-    out = rows.join(known, F.col(group) == F.col("_g"), "left").drop("_g").join(level, F.col(group) == F.col("_g"), "left")
-    for c in ("sk", "employer", "project", "position", "places"):
-        out = out.withColumn(c, F.coalesce(c, f"_{c}"))
-    out = out.withColumn("level", F.when(F.col("_position").isNotNull() & (F.col("level") == "none"), F.coalesce("_level", "level")).otherwise(F.col("level")))
-    return out.select(*rows.columns)
-
-
-PROFILE = ["sk", "employer", "project", "level", "position", "places", "numbers"]
-
-
-def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles with ``pid`` and block ``keys``, members ``pid, id``)."""
-    tagged = rows.withColumn("pid", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in PROFILE)))
-    one = tagged.groupBy("pid").agg(*(F.first(c).alias(c) for c in PROFILE))
-    token = lambda p, c: F.when(F.col(c).isNotNull(), F.array(F.concat(F.lit(p), F.col(c)))).otherwise(F.expr("array()").cast("array<string>"))
-    tokens = F.concat(
-        token("c", "sk"), token("p", "project"), F.when(F.col("position").isNotNull(), F.array(F.concat(F.lit("t"), "level", F.lit("/"), "position"))).otherwise(F.expr("array()").cast("array<string>")),
-        F.transform(F.coalesce("places", F.expr("array()").cast("array<string>")), lambda x: F.concat(F.lit("o"), x)),
+    # a listing names the posting it copies in its query or fragment, its own number is in the path
+    right = agency.select((F.col("listing_id") * 2 + 1).alias("uid"), "company", "role", F.expr(_NONE).alias("links"), F.array_distinct(number(F.regexp_extract("url", r"[?#](.*)$", 1))).alias("numbers"))
+    where = with_copy_region(page).withColumn("row_id", F.col("row_id") * 2).unionByName(agency.select((F.col("listing_id") * 2 + 1).alias("row_id"), "loc", F.lit(None).cast("string").alias("region")))
+    named = (
+        named_places(where, places).filter("place_id > 0").join(places.select("place_id", "name_en"), "place_id")
+        .groupBy(F.col("row_id").alias("uid")).agg(F.array_sort(F.collect_set("name_en")).alias("places"))
     )
-    one = one.withColumn("tokens", tokens)
-    band = lambda s: F.array_join(F.array_sort(F.transform(F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.xxhash64(t, s).alias("h"), t.alias("t")))), 1, 3), lambda x: x["t"])), "|")
-    minhash = F.when(F.size("tokens") >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(BANDS)), band))).otherwise(F.expr("array()").cast("array<string>"))
-    keys = F.concat(minhash, F.transform("numbers", lambda n: F.concat(F.lit("#"), n)))
-    return one.withColumn("keys", keys).drop("tokens"), tagged.select("pid", "id")
+    parsed = left.unionByName(right).mapInArrow(_attribute_batches, "uid bigint, links array<string>, numbers array<string>, " + ", ".join(f"{c} string" for c in ATTRS))
+    return cut(parsed.join(named, "uid", "left"))
 
 
-def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``l, r``: all words of ``left`` (``l``) and ``right`` (``r``) at most two edits apart.
+def told_levels(rows: DataFrame) -> DataFrame:
+    """``rows`` with ambiguous levels replaced by what other rows of the same postings say most often.
 
-    Of three pieces of a word two edits leave one whole, and move it by two places at most.
+    What is counted are pairs of level names, so a few dozen numbers reach the driver.
     """
-    pieces = "transform(sequence(0, 2), i -> concat_ws('|', length(l), i, substr(l, cast(i * length(l) div 3 + 1 as int), cast((i + 1) * length(l) div 3 - i * length(l) div 3 as int))))"
-    probes = "flatten(transform(sequence(greatest(length(r) - 2, 0), length(r) + 2), n -> flatten(transform(sequence(0, 2), i -> transform(sequence(-2, 2), d -> concat_ws('|', n, i, substr(r, cast(i * n div 3 + 1 + d as int), cast((i + 1) * n div 3 - i * n div 3 as int))))))))"
-    some = left.distinct().select("l", F.explode(F.expr(pieces)).alias("k")).join(right.distinct().select("r", F.explode(F.array_distinct(F.expr(probes))).alias("k")), "k")
-    return some.select("l", "r").distinct().filter(F.levenshtein("l", "r") <= 2)
+    said = rows.filter("uid % 2 = 0 and position is not null and level <> 'none'").select(F.explode("links").alias("k"), "level").groupBy("k").agg(F.collect_set("level").alias("ls")).filter("size(ls) > 1")
+    pairs = said.select(F.explode("ls").alias("x"), "ls").filter(F.col("x").isin(*AMBIGUOUS)).select("x", F.explode("ls").alias("y")).filter(~F.col("y").isin(*AMBIGUOUS))
+    best = {r.x: r.y for r in pairs.groupBy("x", "y").count().groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y")).collect()}
+    level = F.col("level")
+    for word, default in AMBIGUOUS.items():
+        level = F.when(F.col("level") == word, best.get(word, default)).otherwise(level)
+    return rows.withColumn("level", level)
 
 
-def exact_keys(one: DataFrame, side: str, projects: Column) -> DataFrame:
-    """``pid, k``: keys that two profiles share wherever the accept rule can take them without a number.
+def filled(rows: DataFrame) -> DataFrame:
+    """``rows`` with unknown attributes taken from rows of the same posting, and ``own``: what the row itself says.
 
-    It asks for one title, one project (``projects``: the spellings to look for) and a place or,
-    with the place missing on one side, an employer in common. ``side`` is a or b.
+    Page rows of one posting share a link; a listing shares the number it names.
     """
-    title = F.concat("level", F.lit("/"), "position")
-    unknown = F.col("places").isNull()
-    met = F.lit("=a" if side == "a" else "=b"), F.lit("=b" if side == "a" else "=a")
-    where = F.concat(
-        F.transform(F.coalesce("places", F.expr("array()").cast("array<string>")), lambda x: F.concat(F.lit("=o"), x)),
-        # a side without a place meets all of the other side that know an employer
-        F.when(F.col("sk").isNotNull(), F.when(unknown, F.array(*met)).otherwise(F.array(met[1]))).otherwise(F.expr("array()").cast("array<string>")),
-    )
-    return (
-        one.filter("position is not null and project is not null").select("pid", title.alias("t"), F.explode(projects).alias("p"), where.alias("where"))
-        .select("pid", "t", "p", F.explode("where").alias("w")).select("pid", F.concat_ws("|", "w", "t", "p").alias("k"))
-    )
-
-
-FEATURES = ["same_number", "employer_same", "employer_near", "employer_diff", "project_same", "project_near", "project_diff", "title_same", "level_diff", "position_diff", "place_same", "place_diff"]
+    keys = F.when(F.col("uid") % 2 == 0, F.concat(F.transform("links", lambda k: F.concat(F.lit("l"), k)), F.transform("numbers", lambda n: F.concat(F.lit("n"), n)))).otherwise(F.transform("numbers", lambda n: F.concat(F.lit("n"), n)))
+    each = rows.select("uid", F.explode(keys).alias("k"), *KNOWN)
+    level = F.when(F.col("position").isNotNull(), F.col("level"))
+    # numbers lead listings to postings only; page rows know each other by the whole link
+    known = each.filter("uid % 2 = 0").groupBy("k").agg(*(F.min(level if c == "level" else c).alias(c) for c in KNOWN), F.count("*").alias("n"))
+    some = each.filter("uid % 2 = 1 or k like 'l%'").select("uid", "k").join(known.filter("n > 1 or k like 'n%'"), "k").groupBy("uid").agg(*(F.min(c).alias(f"_{c}") for c in KNOWN))
+    both = rows.join(some, "uid", "left").withColumn("own", F.struct(*KNOWN))
+    told = F.when(F.col("position").isNull() | (F.col("uid") % 2 == 0) & (F.col("level") == "none"), F.coalesce("_level", "level")).otherwise(F.col("level"))
+    return both.select("uid", "numbers", "own", *(told.alias("level") if c == "level" else F.coalesce(c, f"_{c}").alias(c) for c in KNOWN))
+
+
+def signatures(c: Column) -> Column:
+    """MinHash values of the letter pairs of a word, one for each hash function; null for null."""
+    word = F.concat(F.lit("^"), c, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: F.xxhash64(F.substring(word, i, F.lit(2))))
+    return F.when(c.isNotNull(), let(pairs, lambda ps: F.transform(F.sequence(F.lit(1), F.lit(SIGNATURES)), lambda s: F.array_min(F.transform(ps, lambda p: F.xxhash64(p, s))))))
+
+
+def block_keys() -> Column:
+    """Keys of a profile: a posting number, or three attributes of which one may be a MinHash."""
+    title = F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position"))
+    exact = {"c": F.col("sk"), "p": F.col("project"), "t": title}
+    about = {"c": F.col("_sk"), "p": F.col("_project"), "t": F.col("_title")}
+    none = F.expr("cast(array() as array<bigint>)")
+    out = [F.transform("numbers", lambda n: F.xxhash64(F.lit("#"), n))]
+    for i, (x, y, z) in enumerate((("c", "t", "p"), ("p", "t", "c"), ("c", "p", "t"))):  # no place needed
+        key = F.transform(about[z], lambda m, j: F.xxhash64(F.lit(i), exact[x], exact[y], j, m))  # noqa: B023
+        out.append(F.when(exact[x].isNotNull() & exact[y].isNotNull() & about[z].isNotNull(), key).otherwise(none))
+    for i, (x, z) in enumerate((("t", "p"), ("p", "t")), 3):  # no employer needed
+        key = F.flatten(F.transform("places", lambda o: F.transform(about[z], lambda m, j: F.xxhash64(F.lit(i), exact[x], o, j, m))))  # noqa: B023
+        out.append(F.when(exact[x].isNotNull() & about[z].isNotNull(), F.coalesce(key, none)).otherwise(none))
+    for i, (x, y) in enumerate((("c", "t"), ("c", "p")), 5):
+        key = F.transform("places", lambda o: F.xxhash64(F.lit(i), exact[x], exact[y], o))  # noqa: B023
+        out.append(F.when(exact[x].isNotNull() & exact[y].isNotNull(), F.coalesce(key, none)).otherwise(none))
+    return F.array_distinct(F.concat(*out))
 
 
-def features(pairs: DataFrame) -> DataFrame:
-    """Similarity features of pairs with columns a_* and b_*."""
-    known = lambda c: F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull()
-    same = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
-    head = F.least(F.length("a_employer"), F.length("b_employer"))
-    glued = (head >= 5) & (F.col("a_employer").startswith(F.col("b_employer")) | F.col("b_employer").startswith(F.col("a_employer")))
-    emp = F.when(~known("sk"), 0).when(same("sk") | glued, 1).when((F.levenshtein("a_sk", "b_sk") <= 1) | (F.levenshtein("a_employer", "b_employer") <= 2), 2).otherwise(3)
-    proj = F.when(~known("project"), 0).when(same("project"), 1).when(F.levenshtein("a_project", "b_project") <= 2, 2).otherwise(3)
-    place = F.when(~known("places"), 0).when(F.arrays_overlap("a_places", "b_places"), 1).otherwise(2)
+def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles with ``pid``, ``side``, ``keys``; members ``pid, uid``), both checkpointed."""
+    side = (F.col("uid") % 2).cast("int")
+    told = F.to_json(F.struct(side.alias("side"), *KNOWN, F.when(side == 1, F.col("own")).alias("own"), F.when(side == 1, F.col("numbers")).alias("numbers")))
+    tagged = cut(rows.withColumn("numbers", F.array_sort("numbers")).withColumn("pid", F.md5(told)))
+    # a page profile names every number of its rows; each number is a key of its own
+    first = tagged.groupBy("pid").agg(F.min_by(F.struct("uid", "own", *KNOWN), "uid").alias("f"), F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers"))
+    one = first.select("pid", (F.col("f.uid") % 2).cast("int").alias("side"), "f.own", "numbers", *(f"f.{c}" for c in KNOWN))
+    words = {"_sk": signatures(F.col("sk")), "_project": signatures(F.col("project")), "_title": signatures(F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position")))}
+    return cut(one.withColumns(words).withColumn("keys", block_keys()).drop(*words)), tagged.select("pid", "uid")
+
+
+FEATURES = ["employer_same", "employer_near", "employer_diff", "project_same", "project_near", "project_diff", "position_same", "position_near", "position_diff", "level_diff", "level_lost", "place_same", "place_diff"]
+#: What parts two openings that are known in full.
+DIFF = ("employer_diff", "project_diff", "position_diff", "level_diff", "level_lost", "place_diff")
+
+
+def features(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Similarity features of pairs with structs ``a`` and ``b`` of KNOWN attributes."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    known = lambda c: x(c).isNotNull() & y(c).isNotNull()
+    same = lambda c: x(c) == y(c)
+    head = F.least(F.length(x("employer")), F.length(y("employer")))
+    glued = (head >= 5) & (x("employer").startswith(y("employer")) | y("employer").startswith(x("employer")))
+    emp = F.when(~known("sk"), 0).when(same("sk") | glued, 1).when((F.levenshtein(x("sk"), y("sk")) <= 1) | (F.levenshtein(x("employer"), y("employer")) <= 2), 2).otherwise(3)
+    proj = F.when(~known("project"), 0).when(same("project"), 1).when(F.levenshtein(x("project"), y("project")) <= 2, 2).otherwise(3)
+    pos = F.when(~known("position"), 0).when(same("position"), 1).when(F.levenshtein(x("position"), y("position")) <= 2, 2).otherwise(3)
+    place = F.when(~known("places"), 0).when(F.arrays_overlap(x("places"), y("places")), 1).otherwise(2)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    x = pairs.withColumn("_e", emp).withColumn("_p", proj).withColumn("_o", place)
-    return x.withColumns(
-        {
-            "same_number": flag(F.arrays_overlap("a_numbers", "b_numbers")),
-            "employer_same": flag(F.col("_e") == 1), "employer_near": flag(F.col("_e") == 2), "employer_diff": flag(F.col("_e") == 3),
-            "project_same": flag(F.col("_p") == 1), "project_near": flag(F.col("_p") == 2), "project_diff": flag(F.col("_p") == 3),
-            "title_same": flag(known("position") & same("position") & same("level")), "level_diff": flag(~same("level")), "position_diff": flag(known("position") & ~same("position")),
-            "place_same": flag(F.col("_o") == 1), "place_diff": flag(F.col("_o") == 2),
-        }
-    )
+    told = known("position") & (x("level") != "none") & (y("level") != "none")
+    kinds = {"employer": emp, "project": proj, "position": pos}
+    out = pairs.withColumns({f"_{k}": v for k, v in kinds.items()} | {"_place": place})
+    flags = {f"{k}_{n}": flag(F.col(f"_{k}") == i) for k in kinds for i, n in ((1, "same"), (2, "near"), (3, "diff"))}
+    flags |= {"level_diff": flag(told & ~same("level")), "level_lost": flag(known("position") & ~told & ~same("level")), "place_same": flag(F.col("_place") == 1), "place_diff": flag(F.col("_place") == 2)}
+    return out.withColumns(flags).drop("_employer", "_project", "_position", "_place")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -228,73 +264,63 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
 
 
 #: Weights used where there are no weak labels to learn from (fixed values; order of FEATURES, bias last).
-PRIOR = np.array([4.0, 3.0, 2.0, -6.0, 4.0, 2.0, -6.0, 2.0, -6.0, -5.0, 2.5, -5.0, -6.0])
+PRIOR = np.array([3.0, 2.0, -6.0, 4.0, 2.0, -6.0, 2.0, 1.0, -5.0, -6.0, -6.0, 2.5, -5.0, -6.5])
+#: Labelled pairs of each kind that each half must have for the classifier to be fitted.
+LEAST_LABELS = 10
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float, float]:
-    """(weights, slope, shift): classifier from one half of the labels, Platt calibration from the other.
+def train(labelled: DataFrame) -> tuple[np.ndarray, float, float, float]:
+    """(weights, slope, shift, confidence of a shared number) from all labelled pairs.
 
-    Features are flags, so all labelled pairs come as counts of their distinct vectors: at most
-    two halves x two labels x 2^12 rows, whatever the number of pairs.
+    ``labelled`` has FEATURES, ``label`` (null = unknown), ``same_number`` and the pids. The
+    classifier is fitted on one half, Platt calibration on the other. Features are flags, so all
+    pairs come as counts of their distinct vectors, whatever the number of pairs.
     """
     half = F.pmod(F.xxhash64("a_pid", "b_pid"), F.lit(2)).alias("half")
-    rows = labelled.groupBy(*FEATURES, "label", half).agg(F.count("*").alias("n")).collect()
-    t = np.array([[float(v) for v in r] for r in rows]).reshape(len(rows), len(FEATURES) + 3)
-    x, y, first, n = t[:, : len(FEATURES)], t[:, -3], t[:, -2] == 0, t[:, -1]
-    if min(n[h & (y == v)].sum() for h in (first, ~first) for v in (0, 1)) < 10:
-        return PRIOR, 1.0, 0.0
-    x[:, 0] = 0  # the number made the label; the other features must explain it
-    w = fit_logistic(x[first], y[first], n[first])
-    z = x[~first] @ w[:-1] + w[-1]
-    slope, shift = fit_logistic(z[:, None], y[~first], n[~first], ridge=1e-3)
-    w[0] = PRIOR[0]
-    return w, float(slope), float(shift)
+    rows = labelled.groupBy(*FEATURES, F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), F.col("same_number").cast("int").alias("same_number"), half).agg(F.count("*").alias("n")).collect()
+    t = np.array([[float(v) for v in r] for r in rows]).reshape(len(rows), len(FEATURES) + 4)
+    x, y, linked, first, n = t[:, : len(FEATURES)], t[:, -4], t[:, -3] == 1, t[:, -2] == 0, t[:, -1]
+    clear = x[:, [FEATURES.index(c) for c in DIFF]].sum(axis=1) == 0
+    by_number = float((n[linked & clear].sum() + 1) / (n[linked].sum() + 2)) if linked.any() else 0.5
+    use = y >= 0
+    if min(n[use & h & (y == v)].sum() for h in (first, ~first) for v in (0, 1)) < LEAST_LABELS:
+        return PRIOR, 1.0, 0.0, max(by_number, 0.5)
+    f, g = use & first, use & ~first
+    w = fit_logistic(x[f], y[f], n[f])
+    z = x[g] @ w[:-1] + w[-1]
+    slope, shift = fit_logistic(z[:, None], y[g], n[g], ridge=1e-3)
+    return w, float(slope), float(shift), by_number
+
+
+def candidate_pairs(one: DataFrame) -> DataFrame:
+    """``a_pid, b_pid``: profiles of the two sides that share a block."""
+    keyed = one.select("pid", "side", F.explode("keys").alias("k"))
+    return keyed.filter("side = 0").select(F.col("pid").alias("a_pid"), "k").join(keyed.filter("side = 1").select(F.col("pid").alias("b_pid"), "k"), "k").select("a_pid", "b_pid").distinct()
 
 
 def matches(page: DataFrame, agency: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``row_id, listing_id, confidence`` of each pair of rows of one opening."""
-    number = lambda u: F.regexp_extract_all(u, F.lit(r"(\d{6,})(?!\d)"), 1)
-    empty = F.expr("array()").cast("array<string>")
-    a = described(with_copy_region(page).join(page.select("row_id", "company", "role"), "row_id").withColumnRenamed("row_id", "id"), places)
-    links = page.select(F.col("row_id").alias("id"), F.array_distinct(F.flatten(F.transform(F.concat(F.array("url"), F.coalesce("dups.url", empty)), lambda u: F.coalesce(number(u), empty)))).alias("numbers"))
-    groups = components(link_edges(page))
-    a = cut(filled(a.join(links, "id").join(groups.withColumnRenamed("root", "grp"), "id", "left"), "grp"))
-    # a listing names the posting it copies in its query or fragment, its own number is in the path
-    own = F.array_distinct(F.coalesce(number(F.regexp_extract("url", r"[?#](.*)$", 1)), empty))
-    b = described(agency.select(F.col("listing_id").alias("id"), "company", "role", "loc", F.lit(None).cast("string").alias("region")), places)
-    b = b.join(agency.select(F.col("listing_id").alias("id"), own.alias("numbers")), "id").withColumn("grp", F.lit(None).cast("bigint"))
-    # a listing with a number knows what the posting knows
-    linked = (
-        b.select("id", F.explode("numbers").alias("n")).join(a.select(F.explode("numbers").alias("n"), *(F.col(c).alias(f"_{c}") for c in ("sk", "employer", "project", "places"))), "n")
-        .groupBy("id").agg(*(F.min(f"_{c}").alias(f"_{c}") for c in ("sk", "employer", "project", "places")))
-    )
-    b = b.join(linked, "id", "left")
-    raw_project = F.col("project")
-    b = cut(b.withColumn("had_project", raw_project.isNotNull()).withColumns({c: F.coalesce(c, f"_{c}") for c in ("sk", "employer", "project", "places")}).select(*a.columns))
-    pa_, ma = profiles(a)
-    pb_, mb = profiles(b)
-    pa_, pb_ = cut(pa_), cut(pb_)
-    spelt = near_words(pa_.filter("project is not null").select(F.col("project").alias("l")), pb_.filter("project is not null").select(F.col("project").alias("r")))
-    spelt = cut(spelt.groupBy(F.col("l").alias("project")).agg(F.collect_list("r").alias("spelt")))
-    banded = lambda d: d.select("pid", F.explode("keys").alias("k"))
-    ka = banded(pa_).union(exact_keys(pa_.join(spelt, "project"), "a", F.col("spelt"))).withColumnRenamed("pid", "a_pid")
-    kb = banded(pb_).union(exact_keys(pb_, "b", F.array("project"))).withColumnRenamed("pid", "b_pid")
-    cand = ka.join(kb, "k").select("a_pid", "b_pid").distinct()
-    named = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ["pid", *PROFILE]))
-    pairs = cut(features(cand.join(named(pa_, "a"), "a_pid").join(named(pb_, "b"), "b_pid")).select("a_pid", "b_pid", *FEATURES, (F.size("b_numbers") > 0).alias("numbered")))
-    # weak labels: listings with a number; other rows of the same opening are left out
-    clear = (F.col("employer_diff") + F.col("project_diff") + F.col("level_diff") + F.col("position_diff") + F.col("place_diff")) > 0
-    labelled = pairs.filter("numbered").withColumn("label", F.col("same_number")).filter((F.col("label") == 1) | clear)
-    w, slope, shift = train(labelled)
+    one, members = profiles(filled(told_levels(described(page, agency, places))))
+    known = F.struct(*KNOWN)
+    left = one.filter("side = 0").select(F.col("pid").alias("a_pid"), known.alias("a"), F.col("numbers").alias("a_numbers"))
+    right = one.filter("side = 1").select(F.col("pid").alias("b_pid"), known.alias("b"), "own", F.col("numbers").alias("b_numbers"))
+    pairs = candidate_pairs(one).join(left, "a_pid").join(right, "b_pid").withColumn("same_number", F.arrays_overlap("a_numbers", "b_numbers"))
+    pairs = cut(features(pairs).select("a_pid", "b_pid", "a", "b", "own", "same_number", (F.size("b_numbers") > 0).alias("numbered"), *FEATURES))
+    # weak labels: of a listing with a number everything is known; its features are what it says itself
+    whole = F.lit(True)
+    for c in ("sk", "project", "position", "places"):
+        whole = whole & F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull()
+    parted = sum((F.col(c) for c in DIFF), F.lit(0.0)) > 0
+    label = F.when(F.col("same_number"), 1).when(whole | parted, F.when(parted, 0).otherwise(1))
+    labelled = features(pairs.filter("numbered").withColumn("label", label).drop(*FEATURES), "a", "own")
+    w, slope, shift, by_number = train(labelled)
     z = sum((F.col(f) * float(v) for f, v in zip(FEATURES, w[:-1], strict=True)), F.lit(float(w[-1])))
-    scored = pairs.withColumn("confidence", 1 / (1 + F.exp(-(slope * z + shift)))).filter(F.col("confidence") >= threshold)
-    # an exact check: what is known on both sides may not differ, and enough must be known
-    enough = (F.col("same_number") == 1) | ((F.col("title_same") == 1) & (F.col("project_same") + F.col("project_near") + F.col("employer_same") + F.col("employer_near") + F.col("place_same") >= 2) & (F.col("project_same") + F.col("project_near") >= 1))
-    kept = scored.filter(enough & (F.col("employer_diff") + F.col("project_diff") + F.col("level_diff") + F.col("position_diff") + F.col("place_diff") == 0) | (F.col("same_number") == 1)).select("a_pid", "b_pid", "confidence")
-    return (
-        kept.join(ma.select(F.col("pid").alias("a_pid"), F.col("id").alias("row_id")), "a_pid").join(mb.select(F.col("pid").alias("b_pid"), F.col("id").alias("listing_id")), "b_pid")
-        .select("row_id", "listing_id", F.round("confidence", 6).alias("confidence"))
-    )
+    confidence = 1 / (1 + F.exp(-(slope * z + shift)))
+    scored = pairs.select("a_pid", "b_pid", F.when(F.col("same_number"), F.greatest(confidence, F.lit(by_number))).otherwise(confidence).alias("confidence"))
+    kept = scored.filter(F.col("confidence") >= threshold)
+    rows = members.filter("uid % 2 = 0").select(F.col("pid").alias("a_pid"), F.shiftright("uid", 1).alias("row_id"))
+    listings = members.filter("uid % 2 = 1").select(F.col("pid").alias("b_pid"), F.shiftright("uid", 1).alias("listing_id"))
+    return kept.join(rows, "a_pid").join(listings, "b_pid").select("row_id", "listing_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query_reading("page_rows", "agency_rows", "places")

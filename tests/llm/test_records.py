@@ -121,7 +121,7 @@ def test_mix_hits_targets_and_limits(spark):
 @pytest.mark.parametrize(
     ("company", "role", "want"),
     [("The Merrabria Payments Company", "Jr. Algo Developer @ VENLOLOVI - hybrid", ("merrabria", "venlolovi", "junior", "algorithm")), ("(masked)", "Orlinax: Product Analyst #urgent", (None, "orlinax", "none", "product analyst")), ("x y", "מהנדס/ת אוטומציה ראש צוות (m/f)", ("x", None, "lead", "test automation")),
-     (None, None, (None, None, "none", None)), ("A", "Suport Eniineer", ("a", None, "none", "support"))],
+     (None, None, (None, None, "none", None)), ("Acme", "Senior Quantum Plumber, Orlinax", ("acme", "orlinax", "senior", "plumber quantum")), ("A", "Suport Eniineer", ("a", None, "none", "support"))],
 )
 def test_attributes(company, role, want):
     assert p5.attributes(company, role)[1:] == want
@@ -153,21 +153,64 @@ def test_matches_edges(spark):
     assert p5.matches(page.limit(0), agency.limit(0), places).count() == 0
 
 
-def test_near_words_equal_all_pairs(spark):
-    rnd = random.Random(9)
-    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 10))) for _ in range(120)})
-    df = spark.createDataFrame([(w,) for w in words], "l string")
-    assert {tuple(r) for r in p5.near_words(df, df.withColumnRenamed("l", "r")).collect()} == {(a, b) for a in words for b in words if p5.edits(a, b, 2) <= 2}
+ONE_PLACE = [(1, "Kfar Novorgev", None, "North")]
+PLACES = "place_id long, name_en string, name_he string, region string"
+LISTING = "listing_id long, company string, role string, loc string, url string, row_id string"
+
+
+def _page(i, c, r, loc, url=None):
+    return (i, c, r, loc, url or f"https://b.example/job/{200000 + i}", None, "", None, None, T0, None, 1, 1)
 
 
 def test_matches_meet_without_three_equal_attributes(spark):
-    places = spark.createDataFrame([(1, "Kfar Novorgev", None, "North")], "place_id long, name_en string, name_he string, region string")
-    one = lambda i, c, r, loc: (i, c, r, loc, f"https://b.example/job/{200000 + i}", None, "", None, None, T0, None, 1, 1)
-    page = spark.createDataFrame([one(1, "Acmeron", "Senior Data Engineer, Orlinax", None), one(2, "Zorvalin", "Backend Engineer, Mikuvela", "Novorgev"), one(3, "Zorvalin", "Backend Engineer, Mikuvela", None)], PAGE)
-    agency = [(10, "Acmeronlabs", "Senior Data Engineer, Orlinax", "Novorgev"), (11, None, "Backend Engineer, Mikuvla", "Novorgev"), (12, "Zorvalyn", "Backend Engineer, Mykuvla", None), (13, "Acmeron", "Data Engineer, Orlinax", None)]
-    b = spark.createDataFrame([(i, c, r, loc, f"https://a.test/v/{500000 + i}", None) for i, c, r, loc in agency], "listing_id long, company string, role string, loc string, url string, row_id string")
-    got = {(r.row_id, r.listing_id) for r in p5.matches(page, b, places, threshold=0.0).collect()}  # the accept rule alone
+    places = spark.createDataFrame(ONE_PLACE, PLACES)
+    page = spark.createDataFrame([_page(1, "Acmeron", "Senior Data Engineer, Orlinax", None), _page(2, "Zorvalin", "Quantum Plumber, Mikuvela", "Novorgev"), _page(3, "Zorvalin", "Quantum Plumber, Mikuvela", None)], PAGE)
+    agency = [(10, "Acmeronlabs", "Senior Data Engineer, Orlinax", "Novorgev"), (11, None, "Quantum Plumber, Mikuvela", "Novorgev"), (12, "Zorvalyn", "Quantum Plumber, Mikuvela", None), (13, "Acmeron", "Data Engineer, Orlinax", None), (14, "Zorvalin", "Quantum Tailor, Mikuvela", "Novorgev")]
+    b = spark.createDataFrame([(i, c, r, loc, f"https://a.test/v/{500000 + i}", None) for i, c, r, loc in agency], LISTING)
+    got = {(r.row_id, r.listing_id) for r in p5.matches(page, b, places).collect()}  # no labels: the prior weights
     assert got == {(1, 10), (2, 11), (2, 12), (3, 12)}
+    every = {(r.row_id, r.listing_id) for r in p5.matches(page, b, places, threshold=0.0).collect()}
+    assert got < every and (2, 14) in every
+
+
+def test_levels_of_ambiguous_words_are_learned(spark):
+    rows = [(2 * i, [f"k{i // 2}"], "staff" if i % 2 else "leading", "data") for i in range(8)] + [(16, ["k9"], "leading", "data"), (18, ["k9"], "lead", "data")]
+    df = spark.createDataFrame(rows, "uid long, links array<string>, level string, position string")
+    assert {r.level for r in p5.told_levels(df).filter("uid < 16").collect()} == {"staff"}
+    assert p5.told_levels(df.filter("uid = 0")).first().level == "lead"
+
+
+def test_blocking_recall(spark):
+    """Of the pairs that all-pairs scoring would take, blocking finds nearly all, misspelt words and missing fields included."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("bdgklmnprstvz") + rnd.choice("aeiou") for _ in range(4))
+
+    def typo(w):
+        i = rnd.randrange(1, len(w) - 1)
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :] if rnd.random() < 0.5 else w[:i] + w[i + 1 :]
+
+    a, b = [], []
+    for i in range(300):
+        v = {"sk": word(), "employer": word(), "project": word(), "level": "none", "position": word(), "places": [f"p{i % 9}"]}
+        w = dict(v)
+        w[rnd.choice(["sk", "places"])] = None
+        x = rnd.choice(["project", "position"])
+        w[x] = typo(w[x])
+        a.append((f"a{i}", 0, [], *v.values()))
+        b.append((f"b{i}", 1, [], *w.values()))
+    df = spark.createDataFrame(a + b, "pid string, side int, numbers array<string>, sk string, employer string, project string, level string, position string, places array<string>")
+    title = F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position"))
+    one = df.withColumns({"_sk": p5.signatures(F.col("sk")), "_project": p5.signatures(F.col("project")), "_title": p5.signatures(title)}).withColumn("keys", p5.block_keys())
+    got = {(r.a_pid[1:], r.b_pid[1:]) for r in p5.candidate_pairs(one).collect()}
+    assert sum((str(i), str(i)) in got for i in range(300)) >= 0.95 * 300
+
+
+def test_place_words_of_any_length(spark):
+    long = "Abcdefghijklmnopqrstuvwxyzab"
+    places = spark.createDataFrame([(1, long, None, "North"), (2, "Lod", "לוד", "Center"), (3, "Floor", None, "South")], PLACES)
+    rows = [(1, long, ""), (2, "Lod", ""), (3, "Lud", ""), (4, long[:10] + "x" + long[12:], ""), (5, "HQ, 2nd floor", ""), (6, "Remote office", ""), (7, "לוד", "")]
+    got = sorted((r.row_id, r.place_id) for r in p7.named_places(spark.createDataFrame(rows, "row_id long, loc string, region string"), places).collect())
+    assert got == [(1, 1), (2, 2), (3, -1), (4, 1), (5, 3), (6, -1), (7, 2)]
 
 
 @pytest.mark.parametrize("name", sorted(llm.SQL))
