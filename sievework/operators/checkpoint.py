@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder named in ``spark.checkpoint.dir`` and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which every executor reaches.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Where it is unset, a session on one machine (tests) sets a temporary folder of its own; on a
+    cluster there is no safe place, and this fails.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+        folder = tempfile.mkdtemp(prefix="sievework_")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework_ckpt_"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
