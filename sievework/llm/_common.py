@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-from typing import Callable
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import cut, shared_folder
+
+__all__ = ["blank_to_null", "checked_broadcast", "cut", "let", "query_reading", "read", "shared_folder"]
 #: A side is broadcast only when its counted rows do not exceed this bound.
 BROADCAST_ROWS = 20_000
 
@@ -17,20 +19,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-    unset (unit tests on one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sievework_ckpt_"))
-    return df.checkpoint()
-
-
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its rows were counted and are few; else unchanged.
 

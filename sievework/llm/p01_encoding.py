@@ -2,7 +2,8 @@
 
 Method: map characters back to the bytes of a legacy code page, run a byte-structure automaton
 (the UTF-8 state machine) over those bytes to find maximal well-formed multibyte spans, and
-decode those spans only - again and again, as text may have been garbled more than once. Bytes
+decode those spans only - again and again, as text may have been garbled more than once: a search
+over sequences of pages, of any depth, decides which pages explain a text whole. Bytes
 of a Hebrew code page read as a Latin one are found by their letters (words of nothing but
 letters from U+00E0 to U+00FA) and mapped back by the same tables. What a replacement character
 or a question mark took is reported and left as it is.
@@ -77,8 +78,9 @@ def multibyte_spans(data: bytes) -> list[tuple[int, int, bool]]:
     return spans
 
 
-def _plausible(out: str, text: str, a: int, b: int) -> bool:
-    if not all(PLAUSIBLE.match(c) for c in out if c > "\x7f"):
+def _plausible(out: str, text: str, a: int, b: int, table: dict[str, int]) -> bool:
+    # a layer below another one consists of the page's own characters
+    if not all(PLAUSIBLE.match(c) or c in table for c in out if c > "\x7f"):
         return False
     if len(out) == 1 and "\u05d0" <= out <= "\u05ea":  # a lone letter behind a number is a sign of multiplication with a quote
         return not (a and text[a - 1].isdigit())
@@ -96,7 +98,7 @@ def _unfold(text: str, page: str) -> tuple[str, int, int]:
                 cut += data[a] == 0xE2 and data[a + 1] == 0x80
                 continue
             s = data[a:b].decode("utf-8")
-            if _plausible(s, text, m.start() + a, m.start() + b):
+            if _plausible(s, text, m.start() + a, m.start() + b, table):
                 out += [text[at : m.start() + a], s]
                 at, done = m.start() + b, done + 1
     return "".join([*out, text[at:]]), done, cut
@@ -106,10 +108,50 @@ _LATIN_RUN = re.compile("[\u00e0-\u00fa\u00f7]{3,}")
 _LATIN_ANY = re.compile("(?<![A-Za-z\u00c0-\u00ff])[\u00e0-\u00fa\u00f7]+")
 _MARKS = re.compile("(?<![^\\W_])\\?{2,}")
 #: Letters that restored text hardly ever holds.
-_RARE = re.compile("[\u0100-\u0151\u0154-\u015f\u0162-\u0177\u0179-\u017c\u0370-\u04ff]")
+_RARE = re.compile("[\u0080-\u009f\u0192\u0100-\u0151\u0154-\u015f\u0162-\u0177\u0179-\u017c\u0370-\u04ff]")
 _LOST = re.compile("\ufffd")
 
 
+def peel(text: str) -> tuple[str, list[str], bool]:
+    """(text without its layers, code page of each layer, outermost first, anything cut short).
+
+    A search over sequences of pages, depth first: the page of the layer before is tried first, as
+    text passes the same faulty reader again and again, then the usual ones. A state has no layer
+    left when no page explains any span of it. The first such state with no span cut short and no
+    rare letters ends the search; where there is none, the one that explains most wins, rare
+    letters, cuts and changes of page counting against it. Every layer makes the
+    text shorter, so the search ends, however deep the layers are; re-encoding the restored spans
+    by the pages in reverse gives the stored text again, as the tables are one to one.
+    """
+    best, seen = None, {text}
+    stack: list[tuple[str, tuple[str, ...], int]] = [(text, (), 0)]
+    while stack:
+        state, layers, cut = stack.pop()
+        order = CODE_PAGES if not layers else (layers[-1], *(p for p in CODE_PAGES if p != layers[-1]))
+        on, short = [], None
+        for page in order:
+            if not _PAIR[page].search(state):
+                continue
+            new, done, broken = _unfold(state, page)
+            if done:
+                on.append((new, (*layers, page), broken))
+            elif broken and short is None:
+                short = page
+        if on:
+            stack += [x for x in reversed(on) if x[0] not in seen]
+            seen.update(x[0] for x in on)
+            continue
+        rare, changes = len(_RARE.findall(state)), sum(a != b for a, b in zip(layers, layers[1:]))
+        left = (cut if layers else 0) or int(short is not None)
+        score = len(text) - len(state) - 4 * rare - 2 * left - changes
+        found = (score, state, [*layers, *([short] if short else [])], bool(left))
+        if not left and not rare:
+            return found[1:]
+        if best is None or score > best[0]:
+            best = found
+    return best[1:] if best else (text, [], False)
+
+
 def repair(text: str) -> tuple[str, list[str], bool]:
     """(restored text, code pages found, anything left that cannot be restored)."""
     pages: list[str] = []
@@ -119,28 +161,9 @@ def repair(text: str) -> tuple[str, list[str], bool]:
         back = {c: bytes([b]).decode("cp1255", "ignore") or c for c, b in TO_BYTES["cp1252"].items() if b >= 0xE0}
         text = _LATIN_ANY.sub(lambda m: "".join(back.get(c, c) for c in m.group()), text)
         pages.append("hebrew-as-latin")
-    for _ in range(6):
-        best = None
-        for page in CODE_PAGES:
-            if not _PAIR[page].search(text):
-                continue
-            new, done, cut = _unfold(text, page)
-            if done or cut:
-                # the page that explains most wins, letters that hardly occur count against it; the earlier wins ties
-                rare = len(_RARE.findall(new)) - len(_RARE.findall(text))
-                score = len(text) - len(new) - 4 * max(rare, 0) + (2 * cut if not done else 0)
-                if best is None and not cut and rare <= 0 and not _PAIR[page].search(new):
-                    best = (score, page, new, cut)  # nothing of this page is left to explain
-                    break
-                if best is None or score > best[0]:
-                    best = (score, page, new, cut)
-        if best is None:
-            break
-        lost |= bool(best[3])
-        pages.append(best[1])
-        if best[2] == text:
-            break
-        text = best[2]
+    text, layers, cut = peel(text)
+    lost |= cut
+    pages += layers
     gone = _MARKS.findall(text)
     if len(gone) >= 2 or any(len(g) > 3 for g in gone):
         pages.append("question-marks")

@@ -3,12 +3,12 @@
 Method: for each source, histograms of the text length in characters and in bytes; a spike is a
 length that far more texts share than its neighbourhood, most of them without a proper end.
 Texts at a spike length without terminal punctuation are cut (and those with one too, where the
-spike holds far more of them than chance). Beside that: a mark at the cut (an ellipsis, "[more]"),
-and, for cuts in mid-transfer at any length, the last words: a final line without terminal
-punctuation is cut when its last two words close no other line of the corpus, when they (the last
-one whole or as the beginning of a word) go on inside lines far more often than they end anything,
-when they close lines but never texts (section headings), or when all other lines of the text end
-in a full stop. Going on and ending grow alike with the corpus, so that ratio holds at any size.
+spike holds far more of them than chance). Beside that: a mark
+at the cut (an ellipsis, "[more]"), and, for cuts in mid-transfer at any length, the last words: a
+final line without terminal punctuation is cut when its last two words (the last one whole or as
+the beginning of a word) go on inside lines ``GOES_ON`` times as often as they end anything, or
+when they stand nowhere else in the corpus. Going on and ending grow alike with the corpus, so
+the decision on a text is a ratio and no count.
 
 Scale: histograms and counts of word pairs are map-side combined; prefixes are made of distinct
 pairs only and joined by equality; windows run over distinct lengths of a source, not over its
@@ -31,7 +31,6 @@ MARK = r"(?:…|\.\.\.)\s*(?:\(more\)|\[more\]|read more|more|continue reading)?
 #: Endings that look like a mark and close a sentence (fixed values).
 PHRASE = r"\b(?:much more|and more|etc|u\.?s\.?w)\s*(?:…|\.\.\.)$"
 TERMINAL = r"[.!?:;)”»…☕]$"
-BULLET = r"^[-–•*·]"
 #: A spike has this many texts and this many times the mean of its neighbourhood.
 SPIKE_TEXTS, SPIKE_TIMES, AROUND = 5, 10, 25
 #: Words that go on so many times as often as they end are cut; so many characters of the last word are compared.
@@ -47,16 +46,9 @@ def _facts(rows: DataFrame, key: str) -> DataFrame:
     text = rows.select(F.col(key).alias("ord"), F.coalesce("source", F.lit("")).alias("source"), F.col("desc").alias("d")).filter("trim(d) <> ''")
     text = text.withColumn("lines", F.split(F.translate(F.lower(F.rtrim("d", F.lit(" \r\n\t "))), "012345678", "999999999"), "\n"))
     text = text.withColumn("last", F.rtrim(F.element_at("lines", -1), F.lit(" \r\t ")))
-    body = F.filter(F.slice("lines", 1, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: F.length(x) >= 25)
-    text = text.withColumn("n_body", F.size(body)).withColumn(
-        "n_stop", F.size(F.filter(body, lambda x: F.rtrim(x, F.lit(" \r\t ")).rlike(r"[.!?]$")))
-    )
-    bulleted = F.filter(body, lambda x: x.rlike(BULLET))
-    text = text.withColumn("n_bul", F.size(bulleted)).withColumn("n_bul_stop", F.size(F.filter(bulleted, lambda x: F.rtrim(x, F.lit(" \r\t ")).endswith("."))))
     return text.select(
         "ord", "source", F.xxhash64("d").alias("h"), F.length("d").alias("chars"), F.octet_length("d").alias("bytes"),
-        _tail(F.col("last")).alias("tail"), "n_body", "n_stop", "n_bul", "n_bul_stop",
-        F.col("last").rlike(BULLET).alias("bul"), F.col("d").rlike(r"[\n]\s*\z").alias("closed"),
+        _tail(F.col("last")).alias("tail"), F.col("d").rlike(r"[\n]\s*\z").alias("closed"),
         F.col("last").rlike(TERMINAL).alias("terminal"), F.col("last").rlike(MARK).alias("mark"), F.col("last").rlike(PHRASE).alias("phrase"),
     )
 
@@ -114,7 +106,7 @@ def tail_counts(facts: DataFrame, pairs: DataFrame) -> DataFrame:
         .groupBy("tail").agg(F.sum("n").alias("n_final"), F.count("*").alias("n_texts"), F.max("open").alias("open"))
     )
     inner = pairs.filter("n_inner > 0").select(F.col("pair").alias("tail"), "n_inner")
-    tails = cut(finals.filter("tail <> ''").join(inner, "tail", "left").fillna(0, ["n_inner"]).filter("n_inner >= 1 or n_texts >= 3"))
+    tails = cut(finals.filter("tail <> ''").join(inner, "tail", "left").fillna(0, ["n_inner"]))
     # prefixes of the second word join by equality; past LONGEST characters of it the rest is not compared
     head = F.length("pair") - F.length(F.substring_index("pair", " ", -1))
     upto = lambda n: F.substring("pair", F.lit(1), n)
@@ -131,20 +123,16 @@ def cut_texts(rows: DataFrame, key: str = "ord") -> DataFrame:
     chars = at.filter("measure = 'chars'").select("source", F.col("len").alias("chars"), F.col("near").alias("near_c"), F.col("full").alias("full_c"))
     octets = at.filter("measure = 'bytes'").select("source", F.col("len").alias("bytes"), F.col("near").alias("near_b"), F.col("full").alias("full_b"))
     open_end = ~F.col("terminal") & ~F.col("closed")
-    # two words that go on far more often than they end anything were cut, however many texts end
-    # there; a heading closes many lines and hardly ever a text
+    # two words that go on far more often than they end anything were cut, however many texts end there
     tails = tail_counts(facts, cut(line_pairs(rows)))
     judged = facts.join(chars, ["source", "chars"], "left").join(octets, ["source", "bytes"], "left").join(tails, "tail", "left")
     inner, final, on = F.coalesce("n_inner", F.lit(0)), F.coalesce("n_final", F.lit(0)), F.coalesce("n_on", F.lit(0))
-    often_last = final >= 0.25 * (inner + final)
+    alone = (inner == 0) & (on == 0) & (F.coalesce("n_texts", F.lit(0)) <= 1)
     how = (
         F.when(F.col("mark") & ~F.col("phrase"), "mark")
         .when((F.col("near_c").isNotNull() & (open_end | F.col("full_c"))) | (F.col("near_b").isNotNull() & (open_end | F.col("full_b"))), "spike")
         .when(F.col("closed") | F.col("terminal") & ~F.col("tail").endswith(":"), F.lit(None))
-        .when((inner == 0) & (F.coalesce("n_texts", F.lit(0)) < 3) | (inner < final) & (on >= GOES_ON * (inner + final)), "words")
-        .when((inner >= 300) & (final < inner / 300), "heading")
-        .when(F.col("bul") & (F.col("n_bul") >= 2) & (F.col("n_bul_stop") == F.col("n_bul")) & ~often_last, "style")
-        .when((F.col("n_body") >= 4) & (F.col("n_stop") == F.col("n_body")) & ~often_last, "style")
+        .when((inner < final) & (on >= GOES_ON * (inner + final)) | alone, "words")
     )
     return judged.select("ord", "source", how.alias("how")).filter("how is not null")
 

@@ -2,15 +2,21 @@
 
 Method: content-defined chunking. The canonical link of a posting is cut where a rolling (gear)
 hash of its last bytes hits a mask, so equal stretches give equal chunks wherever they stand.
-A persistent chunk table ``(h, len, rec)`` leads from chunk to accepted record; shared byte
-totals decide by coverage, an exact comparison of the canonical link follows, and the chunks of
-records that were not known are appended. A batch reads only the chunk buckets it touches, never
-the accepted texts.
-
-Scale: every distinct posting is in the tables once, so a posting that makes up a third of all
-rows costs one record. A chunk that most records share (the site) is only counted; candidates
-come from the rarest chunks of a link, of which full coverage must contain at least one (prefix
-filter, exact). No step emits pairs of rows.
+Persistent tables lead from chunk to accepted record and from record to all of its chunks. The
+bytes two links share in chunks decide: a pair that shares at least ``COVERAGE`` of the bytes of
+the longer link is near; ``p6_found`` then confirms by the exact link. The records of a batch that
+no earlier row has are appended.
+
+Only the *prefix* of a record is in the chunk table: its chunks in one fixed order (common chunks,
+counted once when the index is built, last) up to the point where what is left is too short for
+``COVERAGE``. Two links that share that much must share a chunk of both prefixes (prefix filter,
+exact), and the chunk of a site, which most records have, is neither stored nor read.
+
+Scale: both tables are split by hash into buckets of about ``BUCKET_ROWS`` records; their number is
+fixed when the index is built. A batch reads the buckets that its own chunks and its candidates
+fall into, as a list of folders, so what it reads depends on the batch and not on the history.
+Every distinct posting is in the tables once, so a posting that makes up a third of all rows costs
+one record. Batches are checked one after the other. No step emits pairs of rows.
 
 Defined results: null, empty or blank links are never repeats and are not stored; a batch row is
 a repeat when its posting was accepted or stands in a batch row with a smaller id; ties and
@@ -20,21 +26,27 @@ ignored.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, cut, let, query_reading
+from ._common import cut, let, query_reading, shared_folder
 from .links import posting_key
 
 #: Shortest chunk in bytes; a shorter tail joins the chunk before it.
 MIN_CHUNK = 12
 #: Boundary where these bits of the rolling hash are all zero (8 bytes of memory, 1 in 8).
 MASK_SHIFT, MASK = 5, 7
-BUCKETS = 16
+#: Share of the longer link's bytes that near links share.
+COVERAGE = 0.7
+#: Records of a bucket, on average; the number of buckets follows from it and has these bounds.
+BUCKET_ROWS, MOST_BUCKETS = 20_000, 1 << 16
+#: A chunk of more records than this when the index is built is common.
+COMMON = 64
 REPEATS = "first_id bigint, feed_id bigint"
+RECORD = "rec bigint, key string, chunks array<struct<h:bigint,len:int>>, bucket int"
+POSTED = "h bigint, rec bigint, bucket int"
 
 
 def chunks(key: Column, min_chunk: int = MIN_CHUNK) -> Column:
@@ -61,111 +73,108 @@ def chunks(key: Column, min_chunk: int = MIN_CHUNK) -> Column:
     return F.when(n > 0, let(cuts, slices))
 
 
-class ChunkIndex:
-    """Persistent tables of accepted postings: ``records(rec, key)`` and ``chunks(h, len, rec)``."""
+def prefix(cs: Column, coverage: float, common: Column) -> Column:
+    """The chunks of ``cs`` that stand first in the fixed order until less than ``coverage`` of the bytes is left."""
+    order = F.array_sort(F.transform(cs, lambda c: F.struct(F.exists(common, lambda k: k == c["h"]).cast("int").alias("o"), c["h"].alias("h"), c["len"].alias("len"))))
+    total = F.aggregate(cs, F.lit(0), lambda a, c: a + c["len"])
+    start = F.struct(F.lit(0).alias("sum"), F.expr("array()").cast("array<bigint>").alias("hs"))
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        base = path or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework_index_")
-        self.path = path or f"{base.rstrip('/')}/index_{uuid.uuid4().hex}"
+    def step(a: Column, c: Column) -> Column:
+        more = a["sum"] <= (1 - coverage) * total + 1e-9
+        return F.when(more, F.struct((a["sum"] + c["len"]).alias("sum"), F.concat(a["hs"], F.array(c["h"])).alias("hs"))).otherwise(a)
+
+    return F.array_distinct(F.aggregate(order, start, step, lambda a: a["hs"]))
+
+
+def shared_bytes(a: Column, b: Column) -> Column:
+    """Bytes of the chunks of ``a`` that ``b`` has as well, over the bytes of the longer of the two."""
+    size = lambda cs: F.aggregate(cs, F.lit(0), lambda s, c: s + c["len"])
+    both = F.filter(a, lambda c: F.exists(b, lambda d: d["h"] == c["h"]))
+    return size(both) / F.greatest(size(a), size(b))
 
-    def append(self, keys: DataFrame) -> None:
-        """Add distinct postings; ``keys`` has ``rec``, ``key`` and ``chunks``."""
-        keys.select("rec", "key").write.mode("append").parquet(f"{self.path}/records")
-        (
-            keys.select("rec", F.explode("chunks").alias("c"))
-            .select("rec", "c.h", "c.len", F.pmod("c.h", F.lit(BUCKETS)).cast("int").alias("bucket"))
-            .repartition("bucket", F.pmod("rec", F.lit(4)))
-            .write.mode("append").partitionBy("bucket").parquet(f"{self.path}/chunks")
-        )
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+class ChunkIndex:
+    """Persistent tables of accepted postings: ``records`` (rec, key, chunks) and ``posted`` (h, rec), in buckets."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, coverage: float = COVERAGE, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.coverage, self.bucket_rows = spark, coverage, bucket_rows
+        self.path = path or f"{shared_folder(spark)}/index_{uuid.uuid4().hex}"
+        self.buckets = 1
 
     def build(self, rows: DataFrame) -> "ChunkIndex":
         """First load: one record for each distinct posting of ``rows`` (``id``, ``key``)."""
-        self.append(cut(distinct_postings(cut(rows))))
+        keys = cut(distinct_postings(rows))
+        self.buckets = max(1, min(MOST_BUCKETS, -(-keys.count() // self.bucket_rows)))
+        counted = keys.select(F.explode(F.array_distinct("chunks.h")).alias("h")).groupBy("h").count().filter(F.col("count") > COMMON).select("h")
+        counted.write.parquet(f"{self.path}/common")
+        self.append(keys)
         return self
 
-    def lookup(self, keys: DataFrame, coverage: float = 1.0) -> DataFrame:
-        """``key, rec``: known postings among ``keys`` (``key``, ``chunks``), by shared bytes.
-
-        Candidates share at least ``coverage`` of the bytes of the link; the exact check on the
-        canonical link decides.
-        """
-        table = self._table("chunks", "rec bigint, h bigint, len int, bucket int")
-        own = keys.select("key", F.explode("chunks").alias("c")).select("key", "c.h", "c.len")
-        wanted = own.select("h", F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
-        hits = table.join(checked_broadcast(wanted), ["bucket", "h"], "left_semi").select("h", "rec")
-        df = hits.groupBy("h").agg(F.count("*").alias("df"))
-        # rarest first; enough of them that a record with the wanted coverage must hold one
-        ranked = (
-            own.join(df, "h", "left")
-            .groupBy("key")
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "len"))).alias("cs"), F.sum("len").alias("total"))
-            .withColumn("missable", F.floor((1 - F.lit(coverage)) * F.col("total") + F.lit(1e-9)))
-            .withColumn(
-                "absent", F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, c: a + F.when(c["df"] == 0, c["len"]).otherwise(0))
-            )
-            .filter(F.col("absent") <= F.col("missable"))
-            .withColumn(
-                "probes",
-                F.aggregate(
-                    "cs",
-                    F.struct(F.lit(0).cast("bigint").alias("sum"), F.expr("array()").cast("array<bigint>").alias("hs")),
-                    lambda a, c: F.when(
-                        a["sum"] <= F.col("missable"),
-                        F.struct((a["sum"] + c["len"]).alias("sum"), F.concat(a["hs"], F.array(c["h"])).alias("hs")),
-                    ).otherwise(a),
-                    lambda a: a["hs"],
-                ),
-            )
-        )
-        candidates = ranked.select("key", "total", F.explode("probes").alias("h")).join(hits, "h").select("key", "total", "rec").distinct()
-        shared = (
-            candidates.join(own, "key").join(hits.distinct(), ["h", "rec"])
-            .groupBy("key", "rec").agg(F.sum("len").alias("shared"), F.first("total").alias("total"))
-            .filter(F.col("shared") >= F.lit(coverage) * F.col("total"))
-        )
-        exact = self._table("records", "rec bigint, key string")
-        return shared.select("key", "rec").join(exact, ["rec", "key"]).groupBy("key").agg(F.min("rec").alias("rec"))
+    def _with_prefix(self, keys: DataFrame) -> DataFrame:
+        """``keys`` and ``hs``, the chunks it is found by; the common chunks come by a join, whatever their number."""
+        common = self.spark.read.schema("h bigint").parquet(f"{self.path}/common")
+        own = keys.select("rec", F.explode(F.array_distinct("chunks.h")).alias("h")).join(common, "h").groupBy("rec").agg(F.collect_list("h").alias("_common"))
+        hot = F.coalesce("_common", F.expr("array()").cast("array<bigint>"))
+        return keys.join(own, "rec", "left").withColumn("hs", prefix(F.col("chunks"), self.coverage, hot)).drop("_common")
+
+    def bucket(self, c: Column | str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def append(self, keys: DataFrame) -> None:
+        """Add distinct postings; ``keys`` has ``rec``, ``key``, ``chunks`` and may have ``hs``."""
+        keys = keys if "hs" in keys.columns else cut(self._with_prefix(keys))
+        keys.select("rec", "key", "chunks", self.bucket("rec").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "rec").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/records")
+        keys.select(F.explode("hs").alias("h"), "rec").withColumn("bucket", self.bucket("h")).repartition("bucket").sortWithinPartitions("bucket", "h").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/posted")
+
+    def _read(self, table: str, schema: str, wanted: DataFrame, column: str) -> DataFrame:
+        """The rows of ``table`` in the buckets that ``column`` of ``wanted`` falls into: those folders are listed and read, no others."""
+        numbers = sorted(r.b for r in wanted.select(self.bucket(column).alias("b")).distinct().collect())  # at most the number of buckets
+        jvm = self.spark.sparkContext._jvm
+        at = [jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/bucket={b}") for b in numbers]
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        there = [p.toString() for p in at if fs.exists(p)]
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*there) if there else self.spark.createDataFrame([], schema)
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        """``rec, known, coverage, exact``: accepted records ``known`` that share enough bytes with a record of ``keys`` (with ``hs``)."""
+        asked = keys.select("rec", F.explode("hs").alias("h"))
+        posted = self._read("posted", POSTED, asked, "h").select("h", F.col("rec").alias("known"))
+        candidates = cut(asked.join(posted, "h").select("rec", "known").distinct())
+        records = self._read("records", RECORD, candidates, "known").select(F.col("rec").alias("known"), F.col("key").alias("_key"), F.col("chunks").alias("_chunks"))
+        judged = candidates.join(records, "known").join(keys.select("rec", "key", "chunks"), "rec").withColumn("coverage", shared_bytes(F.col("chunks"), F.col("_chunks")))
+        return judged.filter(F.col("coverage") >= self.coverage).select("rec", "known", "coverage", (F.col("key") == F.col("_key")).alias("exact"))
 
 
 def distinct_postings(rows: DataFrame) -> DataFrame:
     """``rec, key, chunks`` of each distinct key of ``rows`` (``id``, ``key``); missing keys leave."""
-    return rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rec")).withColumn("chunks", chunks(F.col("key")))
+    return rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("rec")).select("rec", "key", chunks(F.col("key")).alias("chunks"))
 
 
 def check_batch(index: ChunkIndex, batch: DataFrame, out: str) -> None:
     """Write the repeats of one batch (``id``, ``key``) to ``out`` and append its new postings."""
-    keys = cut(distinct_postings(batch))
-    seen = cut(keys.select("key", F.col("rec").alias("first_new")).join(index.lookup(keys), "key", "left"))
+    keys = cut(index._with_prefix(distinct_postings(batch)))
+    known = index.near(keys).filter("exact").groupBy("rec").agg(F.min("known").alias("known"))
+    seen = cut(keys.join(known, "rec", "left"))
     (
-        batch.filter("key is not null").join(seen, "key")
-        .select(F.coalesce("rec", "first_new").alias("first_id"), F.col("id").alias("feed_id"))
-        .filter("first_id < feed_id")
+        batch.filter("key is not null").join(seen.select("key", F.coalesce("known", "rec").alias("first_id")), "key")
+        .filter("first_id < id").select("first_id", F.col("id").alias("feed_id"))
         .write.mode("append").parquet(out)
     )
-    index.append(keys.join(seen.filter("rec is null").select("key"), "key", "left_semi"))
+    index.append(seen.filter("known is null").drop("known"))
 
 
-def repeated_postings(accepted: DataFrame, batches: DataFrame, one_by_one: bool = False) -> DataFrame:
+def repeated_postings(accepted: DataFrame, batches: DataFrame, **layout) -> DataFrame:
     """``first_id, feed_id`` of every batch row whose posting came before.
 
-    The accepted rows fill the index once. Batches that wait together are checked in one call,
-    which holds them against the index and, by smaller id, against each other; ``one_by_one``
-    makes a call for each batch, with the same result.
+    The accepted rows fill the index once; each batch, in order, is then a run of its own.
     """
     spark = accepted.sparkSession
-    index = ChunkIndex(spark).build(accepted.select(F.col("feed_id").alias("id"), posting_key(F.col("url")).alias("key")))
+    index = ChunkIndex(spark, **layout).build(accepted.select(F.col("feed_id").alias("id"), posting_key(F.col("url")).alias("key")))
     rows = cut(batches.select("batch_no", F.col("feed_id").alias("id"), posting_key(F.col("url")).alias("key")))
     out = f"{index.path}/repeats"
     spark.createDataFrame([], REPEATS).write.parquet(out)
-    if one_by_one:
-        for (no,) in rows.select("batch_no").distinct().orderBy("batch_no").collect():  # a batch is a run of its own
-            check_batch(index, rows.filter(F.col("batch_no").eqNullSafe(no)).drop("batch_no"), out)
-    else:
-        check_batch(index, rows.drop("batch_no"), out)
+    for (no,) in rows.select("batch_no").distinct().orderBy("batch_no").collect():
+        check_batch(index, rows.filter(F.col("batch_no").eqNullSafe(no)).drop("batch_no"), out)
     return spark.read.schema(REPEATS).parquet(out)
 
 

@@ -4,12 +4,12 @@ Method: aggregate the tokens of each source, derive a repetition rate for each,
 document floor(rate) times plus one copy that a hash-seeded Bernoulli trial grants with the
 probability of the fraction.
 
-Rates: a total T of tokens is sought such that every source that is large enough supplies
-share x T. A source whose documents would be needed more than ``max_repeats`` times supplies
-what it can, and the missing tokens are not made up by others: shares of sources relative to
-each other then stay as asked for. T defaults to the largest total at which the sources that are
-not small (those which could supply ``SMALL`` of their share of all listed tokens) all reach
-their share exactly.
+Rates: of a total of T tokens (by default as many as the listed sources have) each source is to
+supply share x T, so its rate is that number over its own tokens, at most ``max_repeats``. A source
+at that limit is repeated as often as it may be, and its shortfall is reported and not made up by
+others: shares of the other sources relative to each other stay as asked for. Most of a rate above
+one is its whole part, which is exact; the Bernoulli part has an expected error, the square root of
+f (1 - f) x the sum of squared sizes, which the report states for each source as a share of the mix.
 
 Scale: tokens are counted once in a scan and kept in a checkpoint; per-source sums are partial
 aggregates; the rates (one row per listed source) are joined by a checked broadcast; copies are
@@ -30,25 +30,20 @@ from pyspark.sql import functions as F
 from ._common import checked_broadcast, cut, query_reading
 from .p08_tokens import count_tokens
 
-#: A source that cannot supply this part of its share of all listed tokens is small.
-SMALL = 0.1
 SEED = 20_240_101
 
 
 def repetition_rates(counted: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """``source, target_share, max_repeats, n_docs, tokens, rate``, one row per listed source."""
-    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
+    """``source, target_share, max_repeats, n_docs, tokens, squares, rate``, one row per listed source."""
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("squares"), F.count("*").alias("n_docs"))
+    zero = F.lit(0).cast("bigint")
     rows = targets.join(sums, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"), F.coalesce("tokens", F.lit(0).cast("bigint")).alias("tokens")
+        "source", "target_share", "max_repeats", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("squares", F.lit(0.0)).alias("squares")
     )
     every = Window.partitionBy()  # one row per listed source: the list is the bound
-    able = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0), F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
-    t = F.lit(total) if total is not None else F.coalesce(F.min(F.when(F.col("able") >= SMALL * F.col("all"), F.col("able"))).over(every), F.lit(0.0))
+    t = F.lit(float(total)) if total is not None else F.sum("tokens").over(every)
     rate = F.when(F.col("tokens") > 0, F.least(F.col("target_share") * F.col("t") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return (
-        rows.withColumn("able", able).withColumn("all", F.sum("tokens").over(every)).withColumn("t", t).withColumn("rate", rate)
-        .select("source", "target_share", "max_repeats", "n_docs", "tokens", "rate")
-    )
+    return rows.withColumn("t", t).withColumn("rate", rate).drop("t")
 
 
 def draw(counted: DataFrame, rates: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
@@ -64,14 +59,16 @@ def draw(counted: DataFrame, rates: DataFrame, key: str = "doc_id", seed: int =
 
 
 def report(mix: DataFrame, rates: DataFrame) -> DataFrame:
-    """Target and actual share of each listed source."""
+    """Target and actual share of each listed source, and the error to expect of the actual one."""
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"), F.count("*").alias("mix_docs"), F.max("copy_no").alias("most_copies"))
     every = Window.partitionBy()
-    out = rates.join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", F.lit(0).cast("bigint")))
-    share = F.when(F.sum("mix_tokens").over(every) > 0, F.col("mix_tokens") / F.sum("mix_tokens").over(every)).otherwise(0.0)
+    zero = F.lit(0).cast("bigint")
+    out = rates.join(got, "source", "left").withColumn("mix_tokens", F.coalesce("mix_tokens", zero))
+    of_mix = lambda c: F.when(F.sum("mix_tokens").over(every) > 0, c / F.sum("mix_tokens").over(every)).otherwise(0.0)
+    f = F.col("rate") - F.floor("rate")
     return out.select(
-        "source", "target_share", share.alias("actual_share"), "rate", (F.col("rate") >= F.col("max_repeats")).alias("at_limit"), "n_docs", "tokens",
-        F.coalesce("mix_docs", F.lit(0).cast("bigint")).alias("mix_docs"), "mix_tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        "source", "target_share", of_mix(F.col("mix_tokens")).alias("actual_share"), of_mix(F.sqrt(f * (1 - f) * F.col("squares"))).alias("share_error"), "rate",
+        (F.col("rate") >= F.col("max_repeats")).alias("at_limit"), "n_docs", "tokens", F.coalesce("mix_docs", zero).alias("mix_docs"), "mix_tokens", F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
 
 

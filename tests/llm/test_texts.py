@@ -31,6 +31,20 @@ def test_restores_twice_misread_and_spans_only():
     assert p1.repair("שלום".encode("cp1255").decode("cp1252") + " abc")[0] == "שלום abc"
 
 
+@pytest.mark.parametrize("text", ["déjà vu – naïve", "Größe – naïve", "Müller & Söhne", HEBREW, "Świętosława – Żółć"])
+@pytest.mark.parametrize("page", ["cp1252", "cp1250", "latin-1", "cp437"])
+def test_restores_any_number_of_layers(text, page):
+    bad = text
+    for _ in range(5):
+        bad = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in bad.encode())
+        assert p1.repair(bad)[0] == text and not p1.repair(bad)[2]
+
+
+def test_restores_layers_of_different_pages():
+    bad = "déjà vu Größe".encode().decode("cp1252").encode().decode("cp437")
+    assert p1.repair(bad)[:2] == ("déjà vu Größe", ["cp437", "cp1252"])
+
+
 @pytest.mark.parametrize("clean", ["", "OPERAÇÃO E INTEGRAÇÃO", "à la carte 90k–95k €", "Ready for X??? Good", HEBREW, "10× faster, “hello” — twice", "Übung für Großkunden"])
 def test_clean_text_stays(clean):
     assert p1.repair(clean) == (clean, [], False)
