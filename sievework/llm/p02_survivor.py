@@ -2,16 +2,19 @@
 
 Groups are the connected components of rows over shared links (``url`` and ``dups[].url``, each
 by its canonical posting key). The survivor is built from *bundles* of dependent fields -
-identity (row, url, src), employer (company), place (region, loc), opening (role), rating
-(verdict, match) - which are taken whole from one copy, chosen by branch and bound: it maximises
-the trust of the chosen copies, in that order of bundles, under the functional dependencies
-``src -> company`` (a board of one employer names it) and ``verdict -> band of match``.
+identity (row, url, src), employer (company), opening (role), rating (verdict, match), place
+(region, loc) - each taken whole from one copy. The identity is the row the rule of the problem
+keeps; the other bundles are chosen by branch and bound, which maximises the summed trust of the
+chosen copies (then filled fields, then recency) under two functional dependencies across bundles:
+``src -> company`` (a board of one employer names it) and ``role -> rating`` (a rating counts for
+the opening it was given to, so it must come with that spelling of the role).
 
 Scale: links are reduced to (row, smallest row of the link) before components are found, so a
 link held by a third of all rows costs a partial aggregate; components use alternating large-
 and small-star steps with checkpoints. Candidates are pre-aggregated in the JVM to one per
-distinct dependency key and bundle, bounded by what can still win, before they reach Python;
-no group is collected row by row.
+bundle and dependency key, and of the roles only those that no other beats in both opening and
+rating remain (a Pareto front, by windows that spill), before they reach Python; no group is
+collected row by row. One exchange by group serves the windows and the packing.
 
 Defined results: rows without any link stand alone and form no group; missing fields (null or
 '') never win against present ones; ties go to the smallest ``row_id``; an unlisted or missing
@@ -23,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import blank_to_null, cut, query_reading
@@ -32,10 +35,10 @@ from .links import posting_key
 if TYPE_CHECKING:
     import pandas as pd
 
-#: Trust of a source that the list does not name: after all others.
-UNLISTED = 1_000_000
-#: Score bands of a verdict (fixed values): low, high.
-BANDS = {"YES": (70, 97), "REACH": (45, 69), "NO": (15, 44)}
+#: Trust counts down from here; a source that the list does not name counts nothing.
+MOST_TRUST = 1_000_000
+#: Bundles in the order of the search.
+BUNDLES = ("identity", "employer", "opening", "rating", "place")
 
 
 def link_edges(rows: DataFrame) -> DataFrame:
@@ -52,11 +55,14 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternates large-star (every larger neighbour of a node is linked to the node's smallest
     neighbour) and small-star (a node and its smaller neighbours are linked to the smallest)
-    until no edge changes: O(log^2 n) rounds, each cut from its lineage.
+    until all edges lead from a node to a root: O(log^2 n) rounds, each cut from its lineage.
     """
     edges = cut(edges)
-    before = None
     for _ in range(max_rounds):
+        # settled: no node has two edges, and no end of an edge has one of its own
+        open_ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("m")).union(edges.select("u", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("n").alias("n"), F.max("m").alias("m"))
+        if open_ends.filter("n > 1 or n = 1 and m = 1").limit(1).isEmpty():
+            break
         both = edges.select(F.col("v").alias("a"), F.col("u").alias("b")).union(edges.select("u", "v"))
         m = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(m, "a").select(F.col("b").alias("v"), F.col("m").alias("u")).filter("u < v").distinct()
@@ -65,10 +71,6 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         edges = cut(
             linked.select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).filter("u < v").distinct()
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.sum("u")).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("v").alias("id"), F.col("u").alias("root")).union(edges.select("u", "u").distinct())
@@ -79,82 +81,96 @@ def org_token(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(F.lower(c), r"^\s*the\s+", ""), r"([\p{L}\p{N}]+)", 1), F.lit(""))
 
 
+def role_key(c: Column) -> Column:
+    """The words of a role in one order: what a rating was given for; null if missing."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}+#]+", " "), " "), lambda w: w != "")
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(words)), " "), F.lit(""))
+
+
 def candidates(rows: DataFrame, groups: DataFrame, trust: DataFrame) -> DataFrame:
-    """``group_id, bundle, fd, row_id, vals, score``: what may still win, one per dependency key."""
+    """``group_id, bundle, fd, row_id, vals, score``: what may still win; rows of a group lie in one partition."""
     family = F.lower(F.trim(F.regexp_extract(F.coalesce("src", F.lit("")), r"^[^:]*", 0)))
     filled = lambda *cs: sum((F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", 1).otherwise(0) for c in cs), F.lit(0))
     base = (
         rows.join(groups, rows.row_id == groups.id)
         .withColumn("family", family)
-        .join(F.broadcast(trust.select(F.lower(F.trim("src")).alias("family"), "trust").groupBy("family").agg(F.min("trust").alias("trust"))), "family", "left")
-        .withColumn("t", -F.coalesce("trust", F.lit(UNLISTED)).cast("bigint"))
+        .join(trust.select(F.lower(F.trim("src")).alias("family"), "trust").groupBy("family").agg(F.min("trust").alias("trust")), "family", "left")
+        .withColumn("t", F.when(F.col("trust").isNull(), 0).otherwise(F.lit(MOST_TRUST) - F.col("trust")).cast("bigint"))
     )
     text = lambda c: F.coalesce(blank_to_null(F.col(c).cast("string")), F.lit(""))
-    in_band = F.lit(True)
-    for v, (lo, hi) in BANDS.items():
-        in_band = F.when((text("verdict") == v) & F.col("match").isNotNull(), F.col("match").between(lo, hi)).otherwise(in_band)
-    # bundle number, name, dependency key, values, present fields, consistent in itself
-    bundles = [
-        ("identity", org_token(F.regexp_extract("src", r":(.+)$", 1)), ["url", "src"], filled("company", "loc", "region", "verdict", "match"), F.lit(True)),
-        ("employer", org_token(F.col("company")), ["company"], filled("company"), filled("company") > 0),
-        ("place", F.lit(None).cast("string"), ["region", "loc"], filled("region", "loc"), filled("region", "loc") > 0),
-        ("opening", F.lit(None).cast("string"), ["role"], filled("role"), filled("role") > 0),
-        ("rating", F.lit(None).cast("string"), ["verdict", "match"], filled("verdict", "match"), (filled("verdict", "match") > 0) & in_band),
-    ]
+    # dependency key, values, present fields, usable at all
+    bundles = {
+        "identity": (org_token(F.regexp_extract("src", r":(.+)$", 1)), ["url", "src"], filled("company", "loc", "region", "verdict", "match"), F.lit(True)),
+        "employer": (org_token(F.col("company")), ["company"], filled("company"), filled("company") > 0),
+        "opening": (role_key(F.col("role")), ["role"], filled("role"), filled("role") > 0),
+        "rating": (role_key(F.col("role")), ["verdict", "match"], filled("verdict", "match"), filled("verdict", "match") > 0),
+        "place": (F.lit(None).cast("string"), ["region", "loc"], filled("region", "loc"), filled("region", "loc") > 0),
+    }
+    at = F.coalesce(F.unix_micros("pulled_at"), F.lit(0).cast("bigint"))
     each = F.array(
         *(
-            F.struct(
-                F.lit(i).alias("bundle"), fd.alias("fd"), F.array(*map(text, cs)).alias("vals"), ok.alias("ok"),
-                F.struct(F.col("t"), n.cast("int").alias("n"), F.coalesce("pulled_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), (-F.col("row_id")).alias("neg")).alias("score"),
-            )
-            for i, (_, fd, cs, n, ok) in enumerate(bundles)
+            F.struct(F.lit(BUNDLES.index(b)).alias("bundle"), fd.alias("fd"), F.array(*map(text, cs)).alias("vals"), ok.alias("ok"), F.struct(F.col("t"), n.cast("int").alias("n"), at.alias("at"), (-F.col("row_id")).alias("neg")).alias("score"))
+            for b, (fd, cs, n, ok) in bundles.items()
         )
     )
     best = (
         base.select("root", "row_id", F.explode(each).alias("b")).filter("b.ok")
         .groupBy("root", "b.bundle", "b.fd").agg(F.max_by(F.struct("row_id", "b.vals", "b.score"), "b.score").alias("w"))
+        .select("root", "bundle", "fd", "w.row_id", "w.vals", "w.score").repartition("root")
     )
-    # bound: an employer that is not the best of its group can win only under a board that names it,
-    # and only the best identity is ever chosen (identity comes first in the order of bundles)
-    top = best.groupBy("root").agg(
-        F.max(F.when(F.col("bundle") == 0, F.struct("w.score", "fd"))).alias("id0"), F.max(F.when(F.col("bundle") == 1, F.col("w.score"))).alias("emp")
-    )
-    return (
-        best.join(top, "root")
-        .filter(
-            F.when(F.col("bundle") == 0, F.col("w.score") == F.col("id0.score"))
-            .when(F.col("bundle") == 1, (F.col("w.score") == F.col("emp")) | (F.col("fd") == F.col("id0.fd")))
-            .otherwise(True)
-        )
-        .select(F.col("root").alias("group_id"), "bundle", "fd", "w.row_id", "w.vals", "w.score")
-    )
-
-
-def best_assignment(options: list[list[tuple]]) -> tuple:
-    """Branch and bound over bundles.
-
-    ``options[i]`` lists ``(score, fd, row_id, vals)`` of bundle i, best first, a final None for
-    "leave empty". Maximises the tuple of scores (None lowest); a choice whose dependency key
-    differs from an earlier one of the same dependency (bundles 0 and 1) is a dead branch. The
-    bound of a branch is its own choices followed by the best of each open bundle.
+    of = lambda i, c="score": F.when(F.col("bundle") == i, F.col(c))
+    group, key = Window.partitionBy("root"), Window.partitionBy("root", "fd")
+    # a role that another one equals in its opening and beats in its rating, or the other way round, cannot win
+    front = Window.partitionBy("root", "bundle").orderBy(F.col("o").desc_nulls_last(), F.col("r").desc_nulls_last(), "fd").rowsBetween(Window.unboundedPreceding, -1)
+    seen = best.withColumn("id0", F.max(F.when(F.col("bundle") == 0, F.struct("score", "fd"))).over(group)).withColumn("emp", F.max(of(1)).over(group)).withColumn("o", F.max(of(2)).over(key)).withColumn("r", F.max(of(3)).over(key))
+    seen = seen.withColumn("first", F.count(F.lit(1)).over(front) == 0).withColumn("before", F.max("r").over(front))
+    return seen.filter(
+        F.when(F.col("bundle") == 0, F.col("score") == F.col("id0.score"))
+        .when(F.col("bundle") == 1, (F.col("score") == F.col("emp")) | (F.col("fd") == F.col("id0.fd")))
+        .when(F.col("bundle").isin(2, 3), F.col("fd").isNull() | F.col("first") | F.coalesce(F.col("r") > F.col("before"), F.col("r").isNotNull() & F.col("before").isNull()))
+        .otherwise(True)
+    ).select(F.col("root").alias("group_id"), "bundle", "fd", "row_id", "vals", "score")
+
+
+#: Bundles (earlier, later) whose dependency keys must agree where both are known.
+DEPENDS = ((0, 1), (2, 3))
+
+
+def best_assignment(options: list[list[tuple]]) -> tuple[tuple, int]:
+    """(choice of each bundle, branches looked at) by branch and bound.
+
+    ``options[i]`` lists ``(score, fd, row_id, vals)`` of bundle i; None, "leave empty", is always
+    possible and scores nothing. Maximises the sum of scores (tuples, compared from the left; the
+    order of such sums is kept by adding, so bounds add up). A choice whose dependency key differs
+    from that of the bundle it depends on is a dead branch. The bound of a branch is its own sum
+    and the best of each open bundle.
     """
-    tops = [o[0][0] if o and o[0] is not None else () for o in options]
-    best: tuple | None = None
-    best_score: tuple = ()
-    stack: list[tuple[tuple, tuple]] = [((), ())]
+    width = max((len(o[0]) for os in options for o in os), default=0)
+    add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
+    zero = (0,) * width
+    ordered = [sorted(os, key=lambda o: o[0], reverse=True) for os in options]
+    rest = [zero]
+    for os in reversed(ordered):  # what the open bundles could add at most
+        rest.append(add(rest[-1], max(os[0][0], zero) if os else zero))
+    rest.reverse()
+    parent = {b: a for a, b in DEPENDS}
+    best, best_sum, looked = (None,) * len(options), None, 0
+    stack = [((), zero)]
     while stack:
-        chosen, scores = stack.pop()
+        chosen, total = stack.pop()
         i = len(chosen)
-        if best is not None and scores + tuple(tops[i:]) <= best_score:
+        if best_sum is not None and add(total, rest[i]) <= best_sum:
             continue
+        looked += 1
         if i == len(options):
-            best, best_score = chosen, scores
+            best, best_sum = chosen, total
             continue
-        for o in reversed([*options[i], None]):  # the best option is popped first
-            if i == 1 and o is not None and chosen[0] is not None and chosen[0][1] and o[1] and o[1] != chosen[0][1]:
-                continue
-            stack.append(((*chosen, o), (*scores, o[0] if o is not None else ())))
-    return best or ()
+        stack.append(((*chosen, None), total))
+        on = chosen[parent[i]] if i in parent else None
+        for o in reversed(ordered[i]):  # the best option is popped first
+            if on is None or not on[1] or not o[1] or on[1] == o[1]:
+                stack.append(((*chosen, o), add(total, o[0])))
+    return best, looked
 
 
 SURVIVOR = "group_id bigint, row_id bigint, url string, src string, company string, region string, loc string, role string, verdict string, match int, employer_row bigint, place_row bigint"
@@ -170,9 +186,7 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for c in cands:
                 s = c["score"]
                 options[c["bundle"]].append(((s["t"], s["n"], s["at"], s["neg"]), c["fd"], c["row_id"], list(c["vals"])))
-            for o in options:
-                o.sort(key=lambda x: x[0], reverse=True)
-            ident, emp, place, role, rating = best_assignment(options)
+            (ident, emp, role, rating, place), _ = best_assignment(options)
             vals = lambda o, n: [v or None for v in o[3]] if o else [None] * n
             out.append((gid, ident[2], *vals(ident, 2), *vals(emp, 1), *vals(place, 2), *vals(role, 1), *vals(rating, 2), emp[2] if emp else None, place[2] if place else None))
         r = pd.DataFrame(out, columns=[x.split()[0] for x in SURVIVOR.split(", ")])

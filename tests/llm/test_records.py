@@ -1,5 +1,6 @@
 """Record problems: survivors, matching, batches, places, mixing."""
 
+import itertools
 import random
 from datetime import datetime
 
@@ -65,10 +66,33 @@ def test_survivors_equal_rule(spark):
     assert p2.survivors(df.limit(0), trust).count() == 0
 
 
-def test_branch_and_bound_respects_dependency():
-    ident, emp = [((5,), "acme", 1, [])], [((9,), "bolt", 2, ["Bolt"]), ((3,), "acme", 3, ["Acme"])]
-    chosen = p2.best_assignment([ident, emp, [], [], []])
-    assert chosen[0][2] == 1 and chosen[1][2] == 3 and chosen[2] is None
+def test_branch_and_bound_equals_brute_force():
+    """Best sum under both dependencies; the search beats taking the best of each bundle in turn, and its bound cuts branches off."""
+    rnd = random.Random(5)
+    parent, greedy_lost, looked, every = {b: a for a, b in p2.DEPENDS}, 0, 0, 0
+    for _ in range(300):
+        options = [[((rnd.randrange(6), rnd.randrange(3), -i), rnd.choice([None, "x", "y", "z"]), i, []) for i in range(rnd.randrange(5))] for _ in range(5)]
+        agree = lambda c: all(c[a] is None or c[b] is None or not c[a][1] or not c[b][1] or c[a][1] == c[b][1] for b, a in parent.items())
+        total = lambda c: tuple(sum(o[0][k] for o in c if o) for k in range(3))
+        whole = [c for c in itertools.product(*([*o, None] for o in options)) if agree(c)]
+        got, n = p2.best_assignment(options)
+        assert agree(got) and total(got) == max(map(total, whole))
+        greedy = []
+        for i, o in enumerate(options):
+            fits = [x for x in o if i not in parent or greedy[parent[i]] is None or not greedy[parent[i]][1] or not x[1] or x[1] == greedy[parent[i]][1]]
+            greedy.append(max(fits, key=lambda x: x[0]) if fits else None)
+        greedy_lost += total(greedy) < total(got)
+        looked, every = looked + n, every + len(whole)
+    assert greedy_lost > 20 and looked < every / 3
+
+
+def test_survivor_takes_the_rating_with_its_role(spark):
+    trust = spark.createDataFrame([("acme", 1), ("bolt", 2), ("cord", 3)], "src string, trust int")
+    row = lambda i, role, src, verdict, match: (i, "Acme", role, "x", "https://b.example/job/100001", src, "North", verdict, match, T0, None, 1, 1)
+    df = spark.createDataFrame([row(1, "Data Engineer", "acme", None, None), row(2, "Engineer, Data II", "bolt", "YES", 80), row(3, "engineer II data", "cord", "REACH", 50), row(4, "Data Engineer", "cord", "NO", 20)], PAGE)
+    r = p2.survivors(df, trust).first()
+    # the best opening (row 1) has only a poor rating (row 4); role and rating of row 2 are worth more together
+    assert (r.row_id, r.role, r.verdict, r.match) == (1, "Engineer, Data II", "YES", 80)
 
 
 def test_batches_equal_loop(spark):

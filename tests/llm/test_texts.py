@@ -147,6 +147,9 @@ CASES = [
     ("Visit us: 61 Novanra St., apt 5", [("address", "61 Novanra St., apt 5")]), ("Visit us: 145 bis rue Garellit", [("address", "145 bis rue Garellit")]), ("Interviews at Basuvdastr. 161, Town", [("address", "Basuvdastr. 161")]), ("C/ Garazniv, 100", [("address", "C/ Garazniv, 100")]),
     ("Best regards,\nDr. Koori O'Varnosky-Telov", [("name", "Koori O'Varnosky-Telov")]), ("Reporting to Yarish D. Drazosky in Marevshet", [("name", "Yarish D. Drazosky")]), ("איש קשר: ד\"ר רביד ורניק", [("name", "רביד ורניק")]), ("Contact Support for details", []), ("Budget of 1,450,000 ₪", []), ("", []),
     ("mаil jоbs@acme.example", [("email", "jоbs@acme.example")]),
+    ("Please call Dana Levi tomorrow", [("name", "Dana Levi")]), ("Best,\nJohn Smith", [("name", "John Smith")]), ("Kind regards\nDana Levi", [("name", "Dana Levi")]), ("My name is Maria Gonzalez", [("name", "Maria Gonzalez")]), ("Dr. Ruth Klein spoke", [("name", "Ruth Klein")]),
+    ("רביד ורניק יראיין אותך מחר", [("name", "רביד ורניק")]), ("מנהל הצוות יראיין אותך", []), ("Please contact Human Resources", []), ("call (212) 555-0147 now", [("phone", "212) 555-0147")]), ("SSN 123-45-6789", [("id_number", "123-45-6789")]), ("ID 123456789", [("id_number", "123456789")]),
+    ("job ID 123456789", []), ("user ID 123456782", [("id_number", "123456782")]), ("passport is 12345678", [("id_number", "12345678")]), ("14 Elm Court", [("address", "14 Elm Court")]), ("tél. 01 42 68 53 00", [("phone", "01 42 68 53 00")]),
 ]
 
 
@@ -163,7 +166,13 @@ def test_mask_keeps_the_rest(spark):
     assert p10.personal_items(df.limit(0)).count() == 0
 
 
+def test_signs_pass_every_text_with_items(spark):
+    texts = [t for t, _ in CASES] + ["no items in this text at all", "we meet at the office"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in df.filter(p10.signs(F.col("text"))).collect()}
+    assert {i for i, t in enumerate(texts) if p10.items(t)} <= kept and not {len(texts) - 2, len(texts) - 1} & kept
+
+
 def test_offsets_of_transducers():
     t = p10.normalise("a​b‑c zero one two three four five!")
-    assert t.text == "ab-c 012345!" and len(t.starts) == len(t.text)
-    assert (t.starts[5], t.ends[5]) == (6, 34)
+    assert t.text == "ab-c 012345!" and t.source(5, 6) == (6, 34) and p10.normalise("plain").source(1, 3) == (1, 3)
