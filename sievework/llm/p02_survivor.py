@@ -106,7 +106,7 @@ def candidates(rows: DataFrame, groups: DataFrame, trust: DataFrame) -> DataFram
         "rating": (role_key(F.col("role")), ["verdict", "match"], filled("verdict", "match"), filled("verdict", "match") > 0),
         "place": (F.lit(None).cast("string"), ["region", "loc"], filled("region", "loc"), filled("region", "loc") > 0),
     }
-    at = F.coalesce(F.unix_micros("pulled_at"), F.lit(0).cast("bigint"))
+    at = F.coalesce(F.unix_micros(F.col("pulled_at").cast("timestamp")), F.lit(0).cast("bigint"))
     each = F.array(
         *(
             F.struct(F.lit(BUNDLES.index(b)).alias("bundle"), fd.alias("fd"), F.array(*map(text, cs)).alias("vals"), ok.alias("ok"), F.struct(F.col("t"), n.cast("int").alias("n"), at.alias("at"), (-F.col("row_id")).alias("neg")).alias("score"))
