@@ -11,41 +11,74 @@ from pyspark.sql import types as T
 from .text import ColumnLike, col, let, quoted, text
 
 UNIT = r"(?:years?|yrs?|שנים|שנות|שנה)"
-NUMBER = r"(\d{1,2})(?:\.\d)?"
-RANGE = rf"{NUMBER} ?\+? ?(?:-|to|עד) ?\d{{1,2}}(?:\.\d)? ?\+? ?{UNIT}"
-CEILING = rf"(?:up to|at most|less than|within|past|last|under|עד|תוך) \d{{1,2}}(?:\.\d)? ?\+? ?{UNIT}"
-SINGLE = rf"{NUMBER} ?\+? ?{UNIT}"
-OPTIONAL_LINE = r"advantage|a plus|nice to have|יתרון"
-OPTIONAL_HEADER = r"^\W*(?:advantages|nice to have|יתרונות)\W*$"
-REQUIRED_HEADER = r"^\W*(?:requirements|must have|who you are|what you.ll do|responsibilities|the role|דרישות|דרישות התפקיד|תיאור התפקיד|מה עושים אצלנו)\W*$"
-MAX_YEARS = 15
+_N = r"(\d{1,2}(?:\.\d)?)"
+#: A number of years, with the character before it, which is no digit and no point.
+SINGLE = rf"(^|[^0-9.]){_N} ?\+? ?{UNIT}"
+RANGE = rf"(^|[^0-9.]){_N} ?\+? ?(?:-|to |עד ?) ?\d{{1,2}}(?:\.\d)? ?\+? ?{UNIT}"
+#: What stands right before a number that is a ceiling or history (at most twelve characters between, no digit).
+BLOCK_BEFORE = (
+    r"(?:up to|at most|maximum|no more than|less than|fewer than|under|below|within|founded|established|operating for|in business for|since|(?:over|in|for) the (?:last|past)|last|past|history of"
+    r"|עד|תוך|פחות מ|לא יותר מ|מנטור עם|קיימת|מזה|לפני)[^0-9]{0,12}$"
+)
+#: What stands within 24 characters behind a number that is history or no experience at all.
+BLOCK_AFTER = r"^[^\n.;]{0,12}(?:\bago\b|\bsince\b|of (?:growth|history|innovation|operation|success)|in business|warranty|anniversary|\bold\b|track record|אחריות)"
+#: Marks of a statement that asks for nothing.
+OPTIONAL = r"advantage|a plus\b|nice to have|preferred|preferable|bonus|desirable|optional|יתרון|עדיפות"
+#: Headings, alone on a line, of what is optional and of what is asked for.
+OPTIONAL_HEADER = "advantages|advantage|nice to have|preferred qualifications|bonus points|bonus|יתרונות|יתרון"
+REQUIRED_HEADER = "requirements|minimum qualifications|must have|who you are|what you'll do|what you’ll do|responsibilities|the role|דרישות התפקיד|דרישות|תיאור התפקיד|מה עושים אצלנו"
+#: The last heading in a stretch of text.
+LAST_HEADER = rf"(?s)^.*(?:^|\n)[^\p{{L}}\n]*({OPTIONAL_HEADER}|{REQUIRED_HEADER})[^\p{{L}}\n]*\n"
+#: Characters of context before and behind a number, of its own statement, and of the search for a heading; years that count at most; words a remark behind a dash may have.
+AROUND, OWN, HEADER, MAX_YEARS, REMARK = (40, 24), (40, 80), 600, 15, 5
+#: Ends of a statement, and a dash that opens the next one.
+_STATEMENT, _NEXT = r"[^\n.;•]*", rf" - (?:[^ ]+ +){{{REMARK}}}[^ ].*$"
 
 
 def _flat(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text(c)), "–—\r\t ", "--   "), " +", " ")
 
 
-def required_lines(c: ColumnLike) -> Column:
-    """Lines that state requirements: not marked optional, not below a header of optional things."""
-    start = F.struct(F.lit(False).alias("off"), F.expr("array()").cast("array<string>").alias("keep"))
-
-    def step(a: Column, line: Column) -> Column:
-        off = F.when(line.rlike(OPTIONAL_HEADER), True).when(line.rlike(REQUIRED_HEADER), False).otherwise(a["off"])
-        return F.struct(off.alias("off"), F.when(off | line.rlike(OPTIONAL_LINE), a["keep"]).otherwise(F.concat(a["keep"], F.array(line))).alias("keep"))
-
-    return F.aggregate(F.split(_flat(col(c)), "\n"), start, step, lambda a: a["keep"])
+def _asked(t: Column, at: Column, end: Column) -> Column:
+    """Whether the number from ``at`` to ``end`` (1-based, exclusive) of the flat text ``t`` is asked for."""
+    before = lambda n: F.substring(t, F.greatest(at - n, F.lit(1)), F.least(F.lit(n), at - 1))
+    behind = lambda n: F.substring(t, end, F.lit(n))
+    own = F.concat_ws(" # ", F.regexp_replace(F.regexp_extract(before(OWN[0]), _STATEMENT + "$", 0), "^.* - ", ""), F.regexp_replace(F.regexp_extract(behind(OWN[1]), "^" + _STATEMENT, 0), _NEXT, ""))
+    header = F.regexp_extract(before(HEADER), LAST_HEADER, 1)
+    return ~before(AROUND[0]).rlike(BLOCK_BEFORE) & ~behind(AROUND[1]).rlike(BLOCK_AFTER) & ~own.rlike(OPTIONAL) & ~header.rlike(f"^(?:{OPTIONAL_HEADER})$")
 
 
 def parse_years(c: ColumnLike) -> Column:
     """The largest number of years a text requires; null if it requires none.
 
-    Ranges count with their lower bound; ceilings and history, optional lines, and numbers above
-    15 do not count.
+    Ranges count with their lower bound and leave the text; a single number counts unless it is a
+    ceiling, history, or part of an optional statement, or the last heading before it opens optional
+    things. Parts of a year count as a whole one; numbers above 15 do not count. Texts without a
+    number of years cost one pattern search; positions are sums of the lengths between matches.
     """
-    s = F.array_join(required_lines(c), "\n")
-    s = F.regexp_replace(F.regexp_replace(s, CEILING, "~"), RANGE, "$1 years")
-    found = F.transform(F.regexp_extract_all(s, F.lit(SINGLE), 1), lambda x: x.cast("int"))
-    return F.array_max(F.filter(found, lambda n: n <= MAX_YEARS))
+
+    def years(t: Column) -> Column:
+        up = lambda x: F.ceil(x.cast("double")).cast("int")
+        ranges = F.transform(F.regexp_extract_all(t, F.lit(RANGE), 2), up)
+        rest = F.regexp_replace(t, RANGE, "$1 ~ ")
+
+        def singles(s: Column) -> Column:
+            whole, lead, number = (F.regexp_extract_all(s, F.lit(SINGLE), i) for i in (0, 1, 2))
+            gaps = F.transform(F.split(s, SINGLE, -1), lambda x: F.length(x))
+            sized = F.arrays_zip(gaps.alias("g"), F.transform(whole, lambda x: F.length(x)).alias("w"), F.transform(lead, lambda x: F.length(x)).alias("l"), number.alias("n"))
+            start = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<int>").alias("out"))
+
+            def step(a: Column, m: Column) -> Column:
+                at = a["at"] + m["g"] + m["l"]
+                end = a["at"] + m["g"] + m["w"]
+                return F.struct(F.coalesce(end, a["at"]).alias("at"), F.when(m["n"].isNotNull() & _asked(s, at, end), F.concat(a["out"], F.array(up(m["n"])))).otherwise(a["out"]).alias("out"))
+
+            return F.aggregate(sized, start, step, lambda a: a["out"])
+
+        return F.concat(ranges, let(rest, singles))
+
+    found = let(_flat(col(c)), years)
+    return F.when(text(c).rlike(rf"(?iU)\d\s*\+?\s*{UNIT}"), F.array_max(F.filter(found, lambda n: n <= MAX_YEARS)))
 
 
 def years_by(c: ColumnLike, strategy: str) -> Column:
@@ -53,7 +86,7 @@ def years_by(c: ColumnLike, strategy: str) -> Column:
     s = _flat(col(c))
     if strategy == "near":
         s = F.array_join(F.filter(F.split(s, "\n"), lambda x: x.rlike("experien|ניסיון")), "\n")
-    every = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SINGLE), 1), lambda x: x.cast("int")), lambda n: n <= 25)
+    every = F.filter(F.transform(F.regexp_extract_all(s, F.lit(SINGLE), 2), lambda x: F.floor(x.cast("double")).cast("int")), lambda n: n <= 25)
     none = F.lit(None).cast("int")
     pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
     if strategy == "min":
@@ -62,7 +95,7 @@ def years_by(c: ColumnLike, strategy: str) -> Column:
         return pair(F.get(every, F.lit(0)), none)
     if strategy == "minmax":
         return let(every, lambda e: pair(F.array_min(e), F.when(F.size(e) > 1, F.array_max(e))))
-    bounds = rf"{NUMBER} ?\+? ?(?:-|to|עד) ?(\d{{1,2}})(?:\.\d)? ?\+? ?{UNIT}"
+    bounds = rf"(?:^|[^0-9.])(\d{{1,2}})(?:\.\d)? ?\+? ?(?:-|to |עד ?) ?(\d{{1,2}})(?:\.\d)? ?\+? ?{UNIT}"
     lo, hi = (F.nullif(F.regexp_extract(s, bounds, i), F.lit("")).cast("int") for i in (1, 2))
     return F.when(lo.isNotNull(), pair(F.least(lo, hi), F.greatest(lo, hi))).otherwise(pair(F.get(every, F.lit(0)), none))
 

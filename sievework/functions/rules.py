@@ -31,7 +31,15 @@ class Rules:
     referral: tuple[str, ...] = ("orzurel", "holnofibria")  # company
     student_level_sources: tuple[str, ...] = ("hirevane", "tafkidim", "misrot")
     junior_levels: tuple[str, ...] = ("junior", "entry")
+    #: words of a company or title that tell nothing about which one it is
+    empty_words: tuple[str, ...] = ("a", "an", "the", "for", "of", "in", "at", "and", "ltd", "inc", "gmbh", "company", "senior", "junior")
+    #: names that end in signs, and how they are spelled in identity keys
+    spelled_signs: tuple[tuple[str, str], ...] = (("c++", "cpp"), ("c#", "csharp"), ("f#", "fsharp"), (".net", "dotnet"))
+    #: words that may stand behind a company's name run together with it, and how long such a name must be
+    corporate: tuple[str, ...] = ("company", "gmbh", "group", "holdings", "inc", "labs", "ltd", "logistics", "networks", "optics", "payments", "photonics", "robotics", "semicon", "analytics", "health")
+    glued_letters: int = 6
     generic_places: tuple[str, ...] = ("israel", "ישראל", "remote", "hybrid", "nationwide", "multiple sites", "various")
+    ways_of_working: tuple[str, ...] = ("hybrid", "remote", "onsite", "site", "on")
     boards: tuple[str, ...] = ("hirevane.example", "jobmarrow.test", "worklist.example", "roleboard.test", "tafkidim.test", "misrot.example", "deskfinder.test")
     #: category -> words; the earliest of the best wins
     categories: tuple[tuple[str, tuple[str, ...]], ...] = field(

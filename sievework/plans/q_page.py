@@ -13,7 +13,7 @@ from ..operators import collapse as CO
 from ..operators import overlay as O
 from . import sqltext as S
 from .base import Registry
-from .q_text import REGION_SQL
+from .q_text import region_sql
 
 reg = Registry()
 _RANK = "CASE verdict WHEN 'YES' THEN 3 WHEN 'REACH' THEN 2 WHEN 'NO' THEN 1 ELSE 0 END"
@@ -158,15 +158,12 @@ def q_sanitize(rows: DataFrame) -> DataFrame:
     return O.sanitized(rows, _KEEP, _BANNED)
 
 
-_DERIVED = REGION_SQL.replace("coalesce(city, '')", "coalesce(loc, '')").replace("FROM postings", "FROM (SELECT row_id AS ord, loc FROM page_rows)")
-
-
 @reg.add("page_rows", "places", sql=f"""SELECT p.row_id, d.region AS derived, CASE WHEN coalesce(p.region, '') IN ('', 'Unknown', 'Center') AND d.region IN ('North', 'South', 'Jerusalem', 'Abroad') THEN d.region ELSE coalesce(p.region, '') END AS region
-  FROM page_rows p JOIN ({_DERIVED}) d ON d.ord = p.row_id""")
+  FROM page_rows p JOIN ({region_sql("page_rows", "row_id", "loc")}) d USING (row_id)""")
 def q_region_repair(rows: DataFrame, places: DataFrame) -> DataFrame:
     """Stored regions replaced by derived ones where they say little."""
-    derived = G.region_of("loc", G.place_terms(places), R.generic_places)
-    return rows.select("row_id", derived.alias("derived"), G.effective_region("region", derived).alias("region"))
+    x = G.with_region(rows.select("row_id", "loc", "region"), "loc", places, "derived")
+    return x.select("row_id", "derived", G.effective_region("region", "derived").alias("region"))
 
 
 @reg.add("page_rows", sql=f"""WITH s AS (SELECT {_K} AS k, CASE min(row_id) % 4 WHEN 0 THEN 'Sent' WHEN 1 THEN 'Skip' WHEN 2 THEN 'New' ELSE 'Interview' END AS status FROM page_rows WHERE {_K} <> '' GROUP BY 1),

@@ -41,8 +41,7 @@ def q_merge_rows(postings: DataFrame) -> DataFrame:
     return Q.merge_new_over_existing(p.filter("age = 0"), p.filter("age = 1"), T.url_norm("url"), [F.col("ord")]).select("ord", "age")
 
 
-_SOFT = f"""CASE WHEN {S.norm_key('company')} <> '' THEN {S.norm_key('company')} || '|' || {S.norm_key('title')} || '|' || coalesce(region, '')
-  WHEN length({S.title_key('"desc"')}) >= 80 THEN '|' || {S.norm_key('title')} || '|' || {S.norm_key('city')} || '|' || left(sha1(left({S.title_key('"desc"')}, 400)), 12) END"""
+_SOFT = S.soft_key()
 
 
 @reg.add("postings", sql=f"""WITH s AS (SELECT ord, source, url, {S.norm_key('company')} = '' AS masked, {_SOFT} AS k FROM postings),

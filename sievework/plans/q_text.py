@@ -63,7 +63,7 @@ def q_parse_years(postings: DataFrame) -> DataFrame:
     return postings.select("ord", X.parse_years("desc").alias("ymin"))
 
 
-_EVERY = f"list_filter([CAST(x AS INTEGER) FOR x IN regexp_extract_all({S.flat('\"desc\"')}, {S.lit(X.SINGLE)}, 1)], lambda n: n <= 25)"
+_EVERY = f"list_filter([CAST(floor(CAST(x AS DOUBLE)) AS INTEGER) FOR x IN regexp_extract_all({S.flat('\"desc\"')}, {S.lit(X.SINGLE)}, 2)], lambda n: n <= 25)"
 
 
 @reg.add("postings", sql=f"SELECT ord, list_min({_EVERY}) AS y_min, ({_EVERY})[1] AS y_first, list_min({_EVERY}) AS y_lo, CASE WHEN len({_EVERY}) > 1 THEN list_max({_EVERY}) END AS y_hi FROM postings")
@@ -101,46 +101,37 @@ def q_keyword_score(postings: DataFrame) -> DataFrame:
     return postings.select("ord", X.best_category("desc", R.categories).alias("category"))
 
 
-_FP = S.title_key('"desc"')
-
-
-@reg.add("postings", sql=f"""SELECT ord, {S.norm_key('title')} AS norm_title, {S.title_key('title')} AS title_key, CASE WHEN length({_FP}) >= 80 THEN left(sha1(left({_FP}, 400)), 12) ELSE '' END AS fp,
-  CASE WHEN {S.norm_key('company')} <> '' THEN {S.norm_key('company')} || '|' || {S.norm_key('title')} || '|' || coalesce(region, '')
-       WHEN length({_FP}) >= 80 THEN '|' || {S.norm_key('title')} || '|' || {S.norm_key('city')} || '|' || left(sha1(left({_FP}, 400)), 12) END AS soft,
+@reg.add("postings", sql=f"""SELECT ord, {S.norm_key('title')} AS norm_title, {S.title_key('title')} AS title_key, {S.fingerprint('"desc"')} AS fp, {S.soft_key()} AS soft,
   CASE WHEN {S.norm_key('company')} <> '' THEN {S.norm_key('company')} || '|' || {S.norm_key('title')} END AS legacy FROM postings""")
 def q_identity_keys(postings: DataFrame) -> DataFrame:
     """Identity keys of each posting."""
-    return postings.select(
-        "ord", T.norm_key("title").alias("norm_title"), T.title_key("title").alias("title_key"), T.fingerprint("desc").alias("fp"),
-        T.soft_key("company", "title", "region", "city", "desc").alias("soft"), T.legacy_key("company", "title").alias("legacy"),
-    )
-
-
-_PART = r"trim(regexp_replace(regexp_replace(part, '\(.*?\)|\b(?:hybrid|remote|on ?site)\b', ' ', 'g'), ' +', ' ', 'g'))"
-_LOC = "trim(regexp_replace(translate(lower(coalesce(city, '')), '’׳`´-־–—', chr(39) || chr(39) || chr(39) || chr(39) || '    '), '[ \\t]+', ' ', 'g'))"
-_NAME = "trim(regexp_replace(translate(lower(n), '’׳`´-־–—', chr(39) || chr(39) || chr(39) || chr(39) || '    '), '\\s+', ' ', 'g'))"
-
-
-#: ord, region of each posting's city.
-REGION_SQL = f"""
-WITH names AS (SELECT region, {_NAME} AS n FROM (SELECT region, unnest([name_en, name_he]) AS n FROM places) WHERE trim(n) <> ''),
-loc AS (SELECT ord, {_LOC} AS s FROM postings),
-parts AS (SELECT ord, s, part FROM (SELECT ord, s, unnest(string_split_regex(s, ' *(?:[,/|;•·\\n]|\\band\\b|&) *')) AS part FROM loc) WHERE part <> ''),
-bare AS (SELECT DISTINCT part FROM parts WHERE NOT ({_PART} = '' OR {_PART} IN ({', '.join(map(S.lit, R.generic_places))}) OR regexp_matches({_PART}, '^\\d+\\+? (?:more )?locations?$'))),
-hit AS (SELECT part, min(CASE names.region WHEN 'North' THEN 1 WHEN 'South' THEN 2 WHEN 'Jerusalem' THEN 3 WHEN 'Abroad' THEN 4 END) AS k FROM bare LEFT JOIN names
-  ON contains(part, n) AND names.region IN ('North', 'South', 'Jerusalem', 'Abroad') AND CASE WHEN regexp_matches(n, '[א-ת]') THEN regexp_matches(part, '(^|[^\\x{{590}}-\\x{{5ff}}])[ובלמשהכ]{{0,2}}' || n || '($|[^\\x{{590}}-\\x{{5ff}}])')
-    ELSE regexp_matches(part, '(^|[^a-z0-9''])' || n || '($|[^a-z0-9])') END GROUP BY part),
-k AS (SELECT ord, list(DISTINCT coalesce(hit.k, 5)) AS ks FROM parts JOIN hit USING (part) GROUP BY ord)
-SELECT loc.ord, CASE WHEN ks IS NULL THEN 'Unknown' WHEN list_contains(ks, 1) THEN 'North' WHEN ks = [3] THEN 'Jerusalem' WHEN list_has_all([2, 3], ks) THEN 'South'
-  WHEN ks = [4] THEN CASE WHEN regexp_matches(s, 'israel|ישראל') THEN 'Unknown' ELSE 'Abroad' END
-  WHEN list_has_all([2, 3, 4], ks) THEN CASE WHEN list_contains(ks, 3) AND NOT list_contains(ks, 2) THEN 'Jerusalem' ELSE 'South' END ELSE 'Center' END AS region
-FROM loc LEFT JOIN k USING (ord)"""
-
-
-@reg.add("postings", "places", sql=REGION_SQL)
+    keys = T.repost_keys("company", "title", "region", "city", "desc")
+    return postings.select("ord", T.norm_key("title").alias("norm_title"), T.title_key("title").alias("title_key"), T.fingerprint("desc").alias("fp"), keys.alias("k")).select("ord", "norm_title", "title_key", "fp", "k.soft", "k.legacy")
+
+
+def region_sql(table: str, key: str, loc: str) -> str:
+    """``key, region`` of each row, by brute force: every fragment against every place name."""
+    fold = lambda x: f"translate(lower({x}), '’׳`´', chr(39) || chr(39) || chr(39) || chr(39))"
+    words = lambda x: f"array_to_string(list_filter(string_split_regex({x}, '{G.GAP.replace(chr(39), chr(39) * 2)}'), lambda w: w <> ''), ' ')"
+    generic, ways = (", ".join(map(S.lit, x)) for x in (R.generic_places, R.ways_of_working))
+    bare = f"array_to_string(list_filter(string_split_regex(regexp_replace(part, '\\([^)]*\\)', ' ', 'g'), '{G.GAP.replace(chr(39), chr(39) * 2)}'), lambda w: w <> '' AND w NOT IN ({ways})), ' ')"
+    ranks = " ".join(f"WHEN {S.lit(n)} THEN {i}" for i, n in enumerate(G.RANKED))
+    return f"""
+WITH names AS (SELECT CASE region {ranks} END AS k, {words(fold("n"))} AS n FROM (SELECT region, unnest([name_en, name_he]) AS n FROM places) WHERE region IN ({", ".join(map(S.lit, G.RANKED))}) AND {words(fold("coalesce(n, '')"))} <> ''),
+loc AS (SELECT DISTINCT {loc} AS loc FROM {table} WHERE {loc} IS NOT NULL),
+parts AS (SELECT loc, part, {words("part")} AS ws, {bare} AS bare FROM (SELECT loc, unnest(string_split_regex({fold("loc")}, {S.lit(G.SEPARATOR)})) AS part FROM loc)),
+told AS (SELECT DISTINCT loc, ws FROM parts WHERE ws <> '' AND bare <> '' AND bare NOT IN ({generic}) AND NOT regexp_matches(bare, '^\\d+ (?:more )?locations?$')),
+hit AS (SELECT loc, ws, coalesce(min(k), {G.CENTER}) AS k FROM told LEFT JOIN names ON regexp_matches(' ' || ws || ' ', ' ' || CASE WHEN regexp_matches(n, '^[א-ת]') THEN '[{G.PREFIXES}]{{0,2}}' ELSE '' END || n || ' ') GROUP BY ALL),
+s AS (SELECT loc, list(DISTINCT k) AS ks FROM hit GROUP BY loc),
+r AS (SELECT loc, CASE WHEN ks IS NULL THEN 'Unknown' WHEN list_contains(ks, 0) THEN 'North' WHEN list_contains(ks, 4) THEN 'Center'
+  WHEN ks = [3] THEN CASE WHEN regexp_matches(lower(loc), 'israel|ישראל') THEN 'Unknown' ELSE 'Abroad' END WHEN list_contains(ks, 1) THEN 'South' ELSE 'Jerusalem' END AS region FROM loc LEFT JOIN s USING (loc))
+SELECT t.{key}, coalesce(r.region, 'Unknown') AS region FROM {table} t LEFT JOIN r ON t.{loc} = r.loc"""
+
+
+@reg.add("postings", "places", sql=region_sql("postings", "ord", "city"))
 def q_region_of(postings: DataFrame, places: DataFrame) -> DataFrame:
     """Region of each posting's city."""
-    return postings.select("ord", G.region_of("city", G.place_terms(places), R.generic_places).alias("region"))
+    return G.with_region(postings.select("ord", "city"), "city", places).select("ord", "region")
 
 
 @reg.add("page_rows", sql=f"SELECT row_id, {S.url_norm('url')} AS u, {S.host('url')} AS host, {S.is_board('url')} AS board, {S.title_key('role')} AS title_key, CASE WHEN coalesce(region, '') = '' THEN 'Unknown' ELSE region END AS region FROM page_rows")

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from ..functions import extract as X
 from ..functions.rules import RULES as R
-from ..functions.text import CORPORATE, STOP_WORDS, quoted
+from ..functions.text import FINGERPRINT, WORD, quoted
 
 
 def lit(s: str) -> str:
@@ -30,26 +30,39 @@ def count_words(x: str, words: Iterable[str]) -> str:
     return "(" + " + ".join(f"CAST(contains(lower(coalesce({x}, '')), {lit(w)}) AS INTEGER)" for w in words) + ")"
 
 
-def name_norm(x: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\\x{{590}}-\\x{{5ff}}]+', ' ', 'g'))"
+def words_of(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), {lit(WORD)})"
 
 
 def company_is(x: str, names: Iterable[str]) -> str:
-    n = name_norm(x)
-    glued = [y.replace(" ", "") for y in names if len(y.replace(" ", "")) >= 6]
-    out = f"regexp_matches({n}, {lit(f'(^|[^a-z0-9])(?:{quoted(names)})($|[^a-z0-9])')})"
-    return f"({out} OR regexp_matches(replace({n}, ' ', ''), {lit(f'^(?:{quoted(glued)}){CORPORATE}$')}))" if glued else out
+    line, joined = f"' ' || array_to_string({words_of(x)}, ' ') || ' '", f"array_to_string({words_of(x)}, '')"
+    out = [f"regexp_matches({line}, {lit(f' (?:{quoted(names)}) ')})"]
+    glued = [n.replace(" ", "") for n in names if len(n.replace(" ", "")) >= R.glued_letters]
+    return "(" + " OR ".join([*out, *([f"regexp_matches({joined}, {lit(f'^(?:{quoted(glued)})(?:{quoted(R.corporate)})*$')})"] if glued else [])]) + ")"
 
 
 def norm_key(x: str) -> str:
-    s = f"replace(replace(replace(lower(coalesce({x}, '')), 'c#', ' csharp '), 'c++', ' cpp '), '.net', ' dotnet ')"
-    s = rf"regexp_replace(regexp_replace({s}, '\(.*?\)', ' ', 'g'), '[^a-z0-9\x{{590}}-\x{{5ff}} ]', ' ', 'g')"
-    s = rf"regexp_replace(regexp_replace({s}, '\b(?:{'|'.join(STOP_WORDS)})\b', ' ', 'g'), '\ba \b', ' ', 'g')"
-    return f"trim(regexp_replace({s}, ' +', ' ', 'g'))"
+    s = f"lower(coalesce({x}, ''))"
+    for sign, spelled in R.spelled_signs:
+        s = f"replace({s}, {lit(sign)}, {lit(f' {spelled} ')})"
+    s = rf"regexp_extract_all(regexp_replace({s}, '\([^)]*\)', ' ', 'g'), {lit(WORD)})"
+    return f"array_to_string(list_filter({s}, lambda w: w NOT IN ({', '.join(map(lit, R.empty_words))})), ' ')"
 
 
 def title_key(x: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9א-ת]+', ' ', 'g'))"
+    return f"array_to_string({words_of(x)}, ' ')"
+
+
+def fingerprint(x: str) -> str:
+    least, most, digits = FINGERPRINT
+    joined = f"array_to_string({words_of(x)}, '')"
+    return f"CASE WHEN length({joined}) >= {least} THEN left(sha1(left({joined}, {most})), {digits}) ELSE '' END"
+
+
+def soft_key() -> str:
+    """The soft key of a row of postings."""
+    return f"""CASE WHEN {norm_key('company')} <> '' THEN {norm_key('company')} || '|' || {norm_key('title')} || '|' || coalesce(region, '')
+  WHEN {fingerprint('"desc"')} <> '' THEN '|' || {norm_key('title')} || '|' || {norm_key('city')} || '|' || {fingerprint('"desc"')} END"""
 
 
 def url_norm(x: str) -> str:
@@ -65,17 +78,30 @@ def is_board(x: str) -> str:
 
 
 def flat(x: str) -> str:
-    return f"regexp_replace(translate(lower(coalesce({x}, '')), '–—' || chr(13) || chr(9) || ' ', '--   '), ' +', ' ', 'g')"
+    return f"regexp_replace(translate(lower(coalesce({x}, '')), '–—' || chr(13) || chr(9) || chr(160), '--   '), ' +', ' ', 'g')"
+
+
+def _before(n: int) -> str:
+    return f"substr(s, CAST(greatest(a - {n}, 1) AS BIGINT), CAST(least({n}, a - 1) AS BIGINT))"
 
 
-#: ord, ymin: years required by each posting's text.
+_OWN = (
+    f"regexp_replace(regexp_extract({_before(X.OWN[0])}, {lit(X._STATEMENT + '$')}, 0), '^.* - ', '') || ' # ' || "
+    f"regexp_replace(regexp_extract(substr(s, e, {X.OWN[1]}), {lit('^' + X._STATEMENT)}, 0), {lit(X._NEXT)}, '')"
+)
+#: ord, ymin: years required by each posting's text, one row for each number found.
 YEARS = f"""
-  SELECT ord, max(n) FILTER (WHERE n <= {X.MAX_YEARS}) AS ymin FROM (
-    SELECT ord, CAST(unnest(regexp_extract_all(regexp_replace(regexp_replace(line, {lit(X.CEILING)}, '~', 'g'), {lit(X.RANGE)}, '\\1 years', 'g'), {lit(X.SINGLE)}, 1)) AS INTEGER) AS n FROM (
-      SELECT ord, line, coalesce(last_value(CASE WHEN regexp_matches(line, {lit(X.OPTIONAL_HEADER)}) THEN 1 WHEN regexp_matches(line, {lit(X.REQUIRED_HEADER)}) THEN 0 END IGNORE NULLS)
-        OVER (PARTITION BY ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS off
-      FROM (SELECT ord, unnest(string_split({flat('"desc"')}, chr(10))) AS line, unnest(range(len(string_split({flat('"desc"')}, chr(10))))) AS pos FROM postings))
-    WHERE off = 0 AND NOT regexp_matches(line, {lit(X.OPTIONAL_LINE)})) GROUP BY ord
+  WITH f AS (SELECT ord, {flat('"desc"')} AS t FROM postings),
+  x AS (SELECT ord, t, regexp_replace(t, {lit(X.RANGE)}, '\\1 ~ ', 'g') AS s FROM f),
+  m AS (SELECT ord, s, regexp_extract_all(s, {lit(X.SINGLE)}, 0) AS w, regexp_extract_all(s, {lit(X.SINGLE)}, 1) AS l, regexp_extract_all(s, {lit(X.SINGLE)}, 2) AS n, string_split_regex(s, {lit(X.SINGLE)}) AS g FROM x),
+  i AS (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM m),
+  p AS (SELECT ord, s, n[i] AS n, CAST(1 + list_sum([length(y) FOR y IN g[1:i]]) + coalesce(list_sum([length(y) FOR y IN w[1:i - 1]]), 0) AS BIGINT) AS st, length(l[i]) AS ll, length(w[i]) AS wl FROM i),
+  k AS (SELECT ord, s, n, st + ll AS a, st + wl AS e FROM p),
+  counted AS (
+    SELECT ord, CAST(ceil(CAST(n AS DOUBLE)) AS INTEGER) AS y FROM k WHERE NOT regexp_matches({_before(X.AROUND[0])}, {lit(X.BLOCK_BEFORE)}) AND NOT regexp_matches(substr(s, e, {X.AROUND[1]}), {lit(X.BLOCK_AFTER)})
+      AND NOT regexp_matches({_OWN}, {lit(X.OPTIONAL)}) AND NOT regexp_matches(regexp_extract({_before(X.HEADER)}, {lit(X.LAST_HEADER)}, 1), {lit(f'^(?:{X.OPTIONAL_HEADER})$')})
+    UNION ALL SELECT ord, CAST(ceil(CAST(unnest(regexp_extract_all(t, {lit(X.RANGE)}, 2)) AS DOUBLE)) AS INTEGER) FROM x)
+  SELECT ord, max(y) AS ymin FROM counted WHERE y <= {X.MAX_YEARS} GROUP BY ord
 """
 
 _HEAD = "regexp_replace(coalesce(title, ''), ',.*| [-–] .*|\\(.*', '')"
