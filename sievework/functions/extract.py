@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -53,32 +54,37 @@ def parse_years(c: ColumnLike) -> Column:
 
     Ranges count with their lower bound and leave the text; a single number counts unless it is a
     ceiling, history, or part of an optional statement, or the last heading before it opens optional
-    things. Parts of a year count as a whole one; numbers above 15 do not count. Texts without a
-    number of years cost one pattern search; positions are sums of the lengths between matches.
+    things. Parts of a year count as a whole one; numbers above 15 do not count. Texts that name no
+    unit of years cost no pattern search.
     """
 
     def years(t: Column) -> Column:
         up = lambda x: F.ceil(x.cast("double")).cast("int")
-        ranges = F.transform(F.regexp_extract_all(t, F.lit(RANGE), 2), up)
-        rest = F.regexp_replace(t, RANGE, "$1 ~ ")
+        ranges = F.regexp_extract_all(t, F.lit(RANGE), 2)
+
+        def both(r: Column) -> Column:
+            rest = F.when(F.size(r) > 0, F.regexp_replace(t, RANGE, "$1 ~ ")).otherwise(t)
+            return F.concat(F.transform(r, up), let(rest, singles))
 
         def singles(s: Column) -> Column:
-            whole, lead, number = (F.regexp_extract_all(s, F.lit(SINGLE), i) for i in (0, 1, 2))
-            gaps = F.transform(F.split(s, SINGLE, -1), lambda x: F.length(x))
-            sized = F.arrays_zip(gaps.alias("g"), F.transform(whole, lambda x: F.length(x)).alias("w"), F.transform(lead, lambda x: F.length(x)).alias("l"), number.alias("n"))
             start = F.struct(F.lit(1).alias("at"), F.expr("array()").cast("array<int>").alias("out"))
 
             def step(a: Column, m: Column) -> Column:
-                at = a["at"] + m["g"] + m["l"]
-                end = a["at"] + m["g"] + m["w"]
-                return F.struct(F.coalesce(end, a["at"]).alias("at"), F.when(m["n"].isNotNull() & _asked(s, at, end), F.concat(a["out"], F.array(up(m["n"])))).otherwise(a["out"]).alias("out"))
+                # every occurrence of the matched words is a match, so the next one is the next match
+                at = F.call_function("locate", m, s, a["at"])
+                end = at + F.length(m)
+                number = at + F.when(m.rlike("^[0-9]"), 0).otherwise(1)
+                n = F.regexp_extract(m, r"[0-9]{1,2}(?:\.[0-9])?", 0)
+                return F.struct(end.alias("at"), F.when(_asked(s, number, end), F.concat(a["out"], F.array(up(n)))).otherwise(a["out"]).alias("out"))
+
+            return F.aggregate(F.regexp_extract_all(s, F.lit(SINGLE), 0), start, step, lambda a: a["out"])
 
-            return F.aggregate(sized, start, step, lambda a: a["out"])
+        return let(ranges, both)
 
-        return F.concat(ranges, let(rest, singles))
+    def found(t: Column) -> Column:
+        return F.when(t.contains("year") | t.contains("yr") | t.contains("שנ"), F.array_max(F.filter(let(t, years), lambda n: n <= MAX_YEARS)))
 
-    found = let(_flat(col(c)), years)
-    return F.when(text(c).rlike(rf"(?iU)\d\s*\+?\s*{UNIT}"), F.array_max(F.filter(found, lambda n: n <= MAX_YEARS)))
+    return let(_flat(col(c)), found)
 
 
 def years_by(c: ColumnLike, strategy: str) -> Column:
@@ -120,10 +126,14 @@ def tags(c: ColumnLike, vocabulary: Iterable[str], cap: int = 12, boundary: str
 
     ``boundary``: "both" (whole words), "prefix" (word start only) or "none" (substring).
     """
-    low = F.lower(text(c))
+    words, low = list(dict.fromkeys(vocabulary)), F.lower(text(c))
     ends = {"both": (r"(?<![a-z0-9])", r"(?![a-z0-9+#])"), "prefix": (r"(?<![a-z0-9])", ""), "none": ("", "")}[boundary]
-    hits = [F.when(low.rlike(ends[0] + quoted([w]) + ends[1]), F.lit(w)) for w in vocabulary]
-    return F.slice(F.filter(F.array(*hits), lambda x: x.isNotNull()), 1, cap)
+    # words of letters, digits and trailing signs are looked up among the words of the text, cut once
+    plain = [w for w in words if boundary == "both" and re.fullmatch("[a-z0-9]+[+#]*", w)]
+    odd = [F.when(low.rlike(ends[0] + quoted([w]) + ends[1]), F.lit(w)) for w in words if w not in plain]
+    have = F.regexp_extract_all(low, F.lit("[a-z0-9]+[+#]*"), 0) if plain else F.expr("array()").cast("array<string>")
+    have = F.concat(have, F.filter(F.array(*odd), lambda x: x.isNotNull())) if odd else have
+    return F.slice(F.array_intersect(F.array(*map(F.lit, words)), have), 1, cap)
 
 
 def best_category(c: ColumnLike, categories: Iterable[tuple[str, tuple[str, ...]]], least: int = 2, default: str = "general") -> Column:
@@ -135,15 +145,35 @@ def best_category(c: ColumnLike, categories: Iterable[tuple[str, tuple[str, ...]
 
 # HTML
 
-#: Named entities of running text (fixed values).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&hellip;", "…"), ("&amp;", "&"))
+#: Named entities of running text (fixed values); any character may be written by its number.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&middot;", "·"), ("&hellip;", "…"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&deg;", "°"), ("&times;", "×"),
+)
+
+
+def _numbered(s: Column) -> Column:
+    """Numeric entities, decimal and hexadecimal, as their characters."""
+    p = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+    def char(e: Column) -> Column:
+        hexed = e.rlike("^&#[xX]")
+        n = F.when(hexed, F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).cast("int")
+        # a code point as UTF-32 bytes; what is no character stays as written
+        ok = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(e)
+
+    marks, between = F.regexp_extract_all(s, F.lit(p), 0), F.split(s, p, -1)
+    joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(char(F.get(marks, i)), F.lit("")))), "")
+    return F.when(s.contains("&#"), joined).otherwise(s)
 
 
 def unescape(c: ColumnLike, times: int = 1) -> Column:
-    """Named entities of running text resolved, ``times`` times."""
+    """Entities of running text resolved, ``times`` times: numbers first, the ampersand last."""
     s = text(c)
     for _ in range(times):
-        for a, b in ENTITIES:
+        s = let(s, _numbered)
+        for a, b in (*ENTITIES, ("&amp;", "&")):
             s = F.replace(s, F.lit(a), F.lit(b))
     return s
 

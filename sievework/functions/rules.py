@@ -19,7 +19,21 @@ class Rules:
     junior: tuple[str, ...] = ("junior", "entry level", "graduate", "מתחיל")  # substring
     student_words: tuple[str, ...] = ("student", "students", "intern", "interns", "trainee", "werkstudent")  # whole word
     student_he: tuple[str, ...] = ("סטודנט",)  # substring
-    skip_words: tuple[str, ...] = ("verilog", "uvm", "vhdl", "verification")  # whole word, in the title
+    student_start: tuple[str, ...] = ("מתמחה",)  # start of the title
+    experienced: tuple[str, ...] = ("experienced", "expert", "seasoned")  # whole word
+    experienced_he: tuple[str, ...] = ("מנוסה", "מנוסים", "מומחה")  # substring
+    skip_words: tuple[str, ...] = ("verilog", "uvm", "vhdl")  # whole word, in the title
+    #: a title of these is a skip where the text speaks of those
+    guarded: tuple[str, ...] = ("verification", "v&v", "ורפיקציה")  # substring, in the title
+    guards: tuple[str, ...] = ("uvm", "testbench", "verilog", "rtl")  # whole word, in the text
+    manual: tuple[str, ...] = ("manual", "ידני")  # substring, in the title
+    tester: tuple[str, ...] = ("qa", "tester", "test", "בדיקות", "בודק")  # whole word, in the title
+    automated: tuple[str, ...] = ("automation", "automated", "אוטומציה")  # substring, in the title
+    automation_tools: tuple[str, ...] = ("pytest", "selenium", "playwright", "jenkins", "python", "robot framework")  # substring, in the text
+    min_tools: int = 2
+    industrial: tuple[str, ...] = ("plc", "scada", "hmi", "בקרה")  # whole word, in the title
+    bench_test: tuple[str, ...] = ("pcb", "rf test", "electrical test", "lab technician")  # substring, in the title
+    training: tuple[str, ...] = ("bootcamp", "academy", "training course", "קורס", "הכשרה")  # substring, in the title
     gap_terms: tuple[str, ...] = ("graphics", "compiler", "security")  # term, in the title
     core_terms: tuple[str, ...] = ("embedded", "firmware", "integration")  # term, in the head of the title
     signals: tuple[str, ...] = ("python", "linux", "docker", "kubernetes", "git", "c++", "rust", "java", "sql", "spark")  # substring, in the text
@@ -50,6 +64,13 @@ class Rules:
             ("web", ("react", "node", "typescript", "frontend", "customer-facing")),
         )
     )
+    #: decision -> reason given
+    reasons: dict[str, str] = field(
+        default_factory=lambda: {
+            "bench": "not-software-test", "manual": "manual-test", "industrial": "industrial", "training": "training", "foundation": "foundation", "student": "student", "years": "junior-title-many-years", "experienced": "experienced",
+            "known_senior": "senior-at-known", "known_three": "three-years-at-known", "known": "open-at-known", "junior": "junior", "senior": "senior", "three": "three-years", "open": "open", "learn": "junior-with-gap", "gap": "gap",
+        }
+    )
     #: vocabulary of tags in the order of the output
     vocabulary: tuple[str, ...] = ("python", "java", "c++", "c#", "go", "rust", "sql", "kafka", "spark", "docker", "kubernetes", "linux", "git", "react", "node", "verilog", "uvm", "rtos")
     #: ordered company rules: label -> names; the first that matches wins

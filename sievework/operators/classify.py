@@ -12,7 +12,22 @@ from ..functions.rules import RULES, Rules
 
 
 def is_student(title, r: Rules = RULES) -> Column:
-    return T.has_word(title, r.student_words) | T.has(title, r.student_he)
+    starts = F.trim(T.text(title)).rlike(rf"^(?:{T.quoted(r.student_start)})")
+    return T.has_word(title, r.student_words) | T.has(title, r.student_he) | starts
+
+
+def is_experienced(title, r: Rules = RULES) -> Column:
+    return T.has_word(title, r.experienced) | T.has(title, r.experienced_he)
+
+
+def is_foundation(title, desc, r: Rules = RULES) -> Column:
+    """A skipped field by the title alone, or by a title that the text decides."""
+    return T.has_word(title, r.skip_words) | T.has(title, r.guarded) & T.has_word(desc, r.guards)
+
+
+def is_manual_test(title, desc, r: Rules = RULES) -> Column:
+    """Testing by hand: said so, or a tester's title without tools of automation in the text."""
+    return T.has_word(title, r.tester) & ~T.has(title, r.automated) & (T.has(title, r.manual) | (T.count_words(desc, r.automation_tools) < r.min_tools))
 
 
 def is_senior(title, r: Rules = RULES) -> Column:
@@ -36,34 +51,39 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def facts(df: DataFrame, r: Rules = RULES) -> DataFrame:
-    """The predicates that the decision list reads, each computed once."""
-    return df.withColumns(
+    """The predicates that the decision list reads, each computed once over texts folded once."""
+    low = df.withColumns({"_t": F.lower(T.text("title")), "_d": F.lower(T.text("desc"))})
+    return low.withColumns(
         {
-            "gate": passes_gate("title", r), "senior_title": is_senior("title", r), "student": is_student("title", r) | (F.col("source").isin(*r.student_level_sources) & (F.lower(T.text("level")) == "student")),
-            "junior_title": T.has("title", r.junior), "junior_level": F.lower(T.text("level")).isin(*r.junior_levels), "ymin": F.coalesce("years_min", X.parse_years("desc")),
-            "foundation": T.has_word("title", r.skip_words), "gap": is_profile_gap("title", r), "qa": T.has_word("title", r.qa_words),
-            "giant": T.company_is("company", r.giants), "referral": T.company_is("company", r.referral), "verified": F.length(F.trim(T.text("desc"))) > 60, "signals": T.count_words("desc", r.signals),
+            "gate": passes_gate("_t", r), "senior_title": is_senior("_t", r), "student": is_student("_t", r) | (F.col("source").isin(*r.student_level_sources) & (F.lower(T.text("level")) == "student")),
+            "junior_title": T.has("_t", r.junior), "junior_level": F.lower(T.text("level")).isin(*r.junior_levels), "ymin": F.coalesce("years_min", X.parse_years("desc")),
+            "experienced": is_experienced("_t", r), "foundation": is_foundation("_t", "_d", r), "manual": is_manual_test("_t", "_d", r), "industrial": T.has_word("_t", r.industrial),
+            "bench": T.has("_t", r.bench_test), "training": T.has("_t", r.training), "gap": is_profile_gap("_t", r), "qa": T.has_word("_t", r.qa_words),
+            "giant": T.company_is("company", r.giants), "referral": T.company_is("company", r.referral), "verified": F.length(F.trim(T.text("desc"))) > 60, "signals": T.count_words("_d", r.signals),
         }
-    )
+    ).drop("_t", "_d")
 
 
-def classify(f: DataFrame) -> DataFrame:
+def classify(f: DataFrame, r: Rules = RULES) -> DataFrame:
     """``lane, why, fit, tailor`` by an ordered decision list over ``facts``; null lane = gate missed."""
-    c = F.col
+    c, why = F.col, r.reasons
     y, known = c("ymin"), c("referral") | c("giant")
     junior = c("junior_title") | c("junior_level") | F.coalesce(y <= 2, F.lit(False))
     senior = c("senior_title") | F.coalesce(y >= 3, F.lit(False))
     over = F.coalesce(y >= 4, F.lit(False))
     three = F.coalesce(y == 3, F.lit(False))
-    lane = lambda name, why, tailor=False: F.struct(F.lit(name).alias("lane"), F.lit(why).alias("why"), F.lit(tailor).alias("tailor"))
+    lane = lambda name, reason, tailor=F.lit(False): F.struct(F.lit(name).alias("lane"), F.lit(why[reason]).alias("why"), tailor.alias("tailor"))
+    yes = F.lit(True)
+    first = F.when(~c("gate"), F.lit(None).cast("struct<lane:string,why:string,tailor:boolean>"))
+    for fact in ("bench", "manual", "industrial", "training", "foundation", "student"):
+        first = first.when(c(fact), lane("skip", fact))
     first = (
-        F.when(~c("gate"), F.lit(None).cast("struct<lane:string,why:string,tailor:boolean>"))
-        .when(c("foundation"), lane("skip", "foundation-gap")).when(c("student"), lane("skip", "student"))
-        .when(c("junior_title") & ~c("senior_title") & over, lane("review", "junior-title-vs-years"))
-        .when(known & (c("senior_title") | over), lane("skip", "too-senior-even-w-referral")).when(known & three, lane("reach", "3y-referral-tailor", True))
-        .when(known & junior, lane("apply", "junior")).when(known, lane("reach", "unclear-referral", True))
-        .when(junior & ~senior, lane("apply", "junior")).when(c("senior_title") | over, lane("skip", "senior")).when(three, lane("reach", "3y-worth-tailoring", True))
-        .otherwise(lane("review", "unclear"))
+        first.when(c("junior_title") & ~c("senior_title") & over, lane("review", "years"))
+        .when(c("experienced") & ~c("senior_title") & ~over, lane("reach", "experienced", three | known))
+        .when(known & (c("senior_title") | over), lane("skip", "known_senior")).when(known & three, lane("reach", "known_three", yes))
+        .when(known & junior, lane("apply", "junior")).when(known, lane("reach", "known", yes))
+        .when(junior & ~senior, lane("apply", "junior")).when(c("senior_title") | over, lane("skip", "senior")).when(three, lane("reach", "three", yes))
+        .otherwise(lane("review", "open"))
     )
     out = f.withColumn("_l", first)
     pure = (y == 0) | (y.isNull() & (c("junior_title") | c("junior_level")))
@@ -72,7 +92,7 @@ def classify(f: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             "lane": F.when(gap & ~learn, "reach").otherwise(c("_l.lane")),
-            "why": F.when(learn, "junior-learn-on-job").when(gap, "profile-gap").otherwise(c("_l.why")),
+            "why": F.when(learn, why["learn"]).when(gap, why["gap"]).otherwise(c("_l.why")),
             "tailor": F.coalesce(F.when(gap & ~learn, False).otherwise(c("_l.tailor")) & c("verified"), F.lit(False)),
         }
     )
@@ -119,6 +139,6 @@ def bucket_rows(c: DataFrame) -> DataFrame:
 def rule_failure(r: Rules = RULES) -> Column:
     """First rule an existing row (role, region) fails now; null if none."""
     return (
-        F.when(T.has_word("role", r.skip_words), "foundation-gap").when(is_senior("role", r), "senior").when(is_student("role", r), "student")
+        F.when(T.has_word("role", r.skip_words), r.reasons["foundation"]).when(is_senior("role", r), "senior").when(is_student("role", r), "student")
         .when(F.col("region").isin(*r.drop_regions), F.concat(F.lit("region-"), F.col("region")))
     )

@@ -142,7 +142,7 @@ def q_score_band(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", O.band_ok().alias("band_ok"), O.estimated_match().alias("mval"))
 
 
-@reg.add("page_rows", sql=f"SELECT row_id, CASE WHEN {S.has_word('role', R.skip_words)} THEN 'foundation-gap' WHEN {S.has('role', R.senior)} OR {S.has_word('role', R.senior_words)} THEN 'senior' WHEN {S.has_word('role', R.student_words)} OR {S.has('role', R.student_he)} THEN 'student' WHEN region IN ('South', 'Jerusalem', 'Abroad') THEN 'region-' || region END AS why FROM page_rows WHERE coalesce(verdict, '') = '' AND NOT coalesce(important, false)")
+@reg.add("page_rows", sql=f"SELECT row_id, CASE WHEN {S.has_word('role', R.skip_words)} THEN '{R.reasons["foundation"]}' WHEN {S.has('role', R.senior)} OR {S.has_word('role', R.senior_words)} THEN 'senior' WHEN {S.has_word('role', R.student_words)} OR {S.has('role', R.student_he)} OR regexp_matches(trim(coalesce(role, '')), {S.lit('^(?:' + T.quoted(R.student_start) + ')')}) THEN 'student' WHEN region IN ('South', 'Jerusalem', 'Abroad') THEN 'region-' || region END AS why FROM page_rows WHERE coalesce(verdict, '') = '' AND NOT coalesce(important, false)")
 def q_recheck_rules(rows: DataFrame) -> DataFrame:
     """Unjudged rows tested against today's rules."""
     return rows.filter((T.text("verdict") == "") & ~F.coalesce("important", F.lit(False))).select("row_id", C.rule_failure().alias("why"))

@@ -33,10 +33,10 @@ def q_normalize(postings: DataFrame) -> DataFrame:
     return C.normalize(postings).select("ord", "source", "sid", "title", "company", "city", "url", "level", "years_min", "active", F.array_join("tech", ",").alias("tech"))
 
 
-@reg.add("postings", sql="WITH " + S.FACTS + "SELECT ord, gate, senior_title, student, gap, qa, foundation, giant, referral, signals FROM fitted")
+@reg.add("postings", sql="WITH " + S.FACTS + "SELECT ord, gate, senior_title, student, gap, qa, foundation, experienced, manual, industrial, bench, training, giant, referral, signals FROM fitted")
 def q_title_gate(postings: DataFrame) -> DataFrame:
     """Every title and company predicate."""
-    return C.facts(C.normalize(postings)).select("ord", "gate", "senior_title", "student", "gap", "qa", "foundation", "giant", "referral", "signals")
+    return C.facts(C.normalize(postings)).select("ord", "gate", "senior_title", "student", "gap", "qa", "foundation", "experienced", "manual", "industrial", "bench", "training", "giant", "referral", "signals")
 
 
 @reg.add("postings", sql="WITH " + S.FACTS + "SELECT ord, lane, why, fit, tailor FROM fitted")
@@ -180,7 +180,7 @@ _HTML = "'<div><h2>' || replace(replace(coalesce(title, ''), '<', ''), '&', '&am
 
 
 def _sql_unescape(x: str) -> str:
-    for entity, char in X.ENTITIES:
+    for entity, char in (*X.ENTITIES, ("&amp;", "&")):
         x = f"replace({x}, {S.lit(entity)}, {S.lit(char)})"
     return x
 

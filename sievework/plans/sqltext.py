@@ -108,19 +108,23 @@ _HEAD = "regexp_replace(coalesce(title, ''), ',.*| [-–] .*|\\(.*', '')"
 FACTS = f"""
 facts AS (SELECT p.*, y.ymin_text, coalesce(years_min, y.ymin_text) AS ymin,
   ({has("title", R.gate)} OR {has_word("title", R.gate_words)}) AS gate, ({has("title", R.senior)} OR {has_word("title", R.senior_words)}) AS senior_title,
-  ({has_word("title", R.student_words)} OR {has("title", R.student_he)} OR (source IN ({", ".join(map(lit, R.student_level_sources))}) AND lower(coalesce(level, '')) = 'student')) AS student,
-  {has("title", R.junior)} AS junior_title, lower(coalesce(level, '')) IN ({", ".join(map(lit, R.junior_levels))}) AS junior_level, {has_word("title", R.skip_words)} AS foundation,
+  ({has_word("title", R.student_words)} OR {has("title", R.student_he)} OR regexp_matches(trim(coalesce(title, '')), {lit('^(?:' + quoted(R.student_start) + ')')}) OR (source IN ({", ".join(map(lit, R.student_level_sources))}) AND lower(coalesce(level, '')) = 'student')) AS student,
+  {has("title", R.junior)} AS junior_title, lower(coalesce(level, '')) IN ({", ".join(map(lit, R.junior_levels))}) AS junior_level,
+  ({has_word("title", R.skip_words)} OR {has("title", R.guarded)} AND {has_word('"desc"', R.guards)}) AS foundation, ({has_word("title", R.experienced)} OR {has("title", R.experienced_he)}) AS experienced,
+  ({has_word("title", R.tester)} AND NOT {has("title", R.automated)} AND ({has("title", R.manual)} OR {count_words('"desc"', R.automation_tools)} < {R.min_tools})) AS manual,
+  {has_word("title", R.industrial)} AS industrial, {has("title", R.bench_test)} AS bench, {has("title", R.training)} AS training,
   ({has_term("title", R.gap_terms)} AND ({has_term(_HEAD, R.gap_terms)} OR NOT {has_term(_HEAD, R.core_terms)})) AS gap, {has_word("title", R.qa_words)} AS qa,
   {company_is("company", R.giants)} AS giant, {company_is("company", R.referral)} AS referral, length(trim(coalesce("desc", ''))) > 60 AS verified, {count_words('"desc"', R.signals)} AS signals
   FROM postings p LEFT JOIN (SELECT ord AS yord, ymin AS ymin_text FROM ({YEARS})) y ON p.ord = y.yord),
 flags AS (SELECT *, referral OR giant AS known, junior_title OR junior_level OR coalesce(ymin <= 2, false) AS jr, senior_title OR coalesce(ymin >= 3, false) AS sen,
   coalesce(ymin >= 4, false) AS over4, coalesce(ymin = 3, false) AS three FROM facts),
-ladder AS (SELECT *, CASE WHEN NOT gate THEN NULL WHEN foundation THEN 'skip/foundation-gap/0' WHEN student THEN 'skip/student/0' WHEN junior_title AND NOT senior_title AND over4 THEN 'review/junior-title-vs-years/0'
-  WHEN known AND (senior_title OR over4) THEN 'skip/too-senior-even-w-referral/0' WHEN known AND three THEN 'reach/3y-referral-tailor/1' WHEN known AND jr THEN 'apply/junior/0' WHEN known THEN 'reach/unclear-referral/1'
-  WHEN jr AND NOT sen THEN 'apply/junior/0' WHEN senior_title OR over4 THEN 'skip/senior/0' WHEN three THEN 'reach/3y-worth-tailoring/1' ELSE 'review/unclear/0' END AS l FROM flags),
+ladder AS (SELECT *, CASE WHEN NOT gate THEN NULL {" ".join(f"WHEN {x} THEN 'skip/{R.reasons[x]}/0'" for x in ("bench", "manual", "industrial", "training", "foundation", "student"))}
+  WHEN junior_title AND NOT senior_title AND over4 THEN 'review/{R.reasons["years"]}/0' WHEN experienced AND NOT senior_title AND NOT over4 THEN 'reach/{R.reasons["experienced"]}/' || CASE WHEN three OR known THEN '1' ELSE '0' END
+  WHEN known AND (senior_title OR over4) THEN 'skip/{R.reasons["known_senior"]}/0' WHEN known AND three THEN 'reach/{R.reasons["known_three"]}/1' WHEN known AND jr THEN 'apply/{R.reasons["junior"]}/0' WHEN known THEN 'reach/{R.reasons["known"]}/1'
+  WHEN jr AND NOT sen THEN 'apply/{R.reasons["junior"]}/0' WHEN senior_title OR over4 THEN 'skip/{R.reasons["senior"]}/0' WHEN three THEN 'reach/{R.reasons["three"]}/1' ELSE 'review/{R.reasons["open"]}/0' END AS l FROM flags),
 gapped AS (SELECT *, gap AND split_part(l, '/', 1) IN ('apply', 'reach') AS g, coalesce(gap AND split_part(l, '/', 1) = 'apply' AND (ymin = 0 OR (ymin IS NULL AND (junior_title OR junior_level))), false) AS learn FROM ladder),
 classed AS (SELECT *, CASE WHEN l IS NULL THEN NULL WHEN g AND NOT learn THEN 'reach' ELSE split_part(l, '/', 1) END AS lane,
-  CASE WHEN l IS NULL THEN NULL WHEN learn THEN 'junior-learn-on-job' WHEN g THEN 'profile-gap' ELSE split_part(l, '/', 2) END AS why,
+  CASE WHEN l IS NULL THEN NULL WHEN learn THEN '{R.reasons["learn"]}' WHEN g THEN '{R.reasons["gap"]}' ELSE split_part(l, '/', 2) END AS why,
   coalesce((NOT (g AND NOT learn)) AND split_part(l, '/', 3) = '1' AND verified, false) AS tailor FROM gapped),
 fitted AS (SELECT *, CASE WHEN lane IS NULL THEN NULL WHEN referral AND lane <> 'skip' THEN 5 WHEN lane = 'apply' THEN CASE WHEN region = 'North' THEN 5 ELSE 4 END
   WHEN lane IN ('reach', 'review') THEN CASE WHEN known THEN 4 ELSE 3 END ELSE 1 END AS fit FROM classed)
