@@ -26,7 +26,7 @@ def drop_causes(rows: DataFrame, drops: list[tuple[str, DataFrame]]) -> DataFram
 
 
 def finish_bucket(rows: DataFrame, drops: list[tuple[str, DataFrame]], cap: int | None, order: list) -> DataFrame:
-    """Every row with its fate: kept, or dropped for a drop set, a repeated link or the cap.
+    """Every row with its fate: kept, or dropped for a drop set, a repeated link or the cap (``order`` ascends).
 
     Only links are windowed for repeats (rows without one leave first), and the cap takes a
     top-k instead of ranking all rows in one task.

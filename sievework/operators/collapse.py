@@ -57,8 +57,9 @@ SCHEMA = "key string, row_id bigint, url string, important boolean, merged array
 def collapse_copies(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
     """One row for each opening among named rows with a telling title (three words or more).
 
-    Rows that agree in all fields the merge reads are folded before grouping; a group is one
-    company's rows of one title, which titles of three words keep small.
+    Rows that agree in all fields the merge reads are folded to the one with the smallest id before
+    grouping (``merged`` names folded rows), so copies cost nothing; what a group then holds are the
+    distinct links, marks and ratings of one company's title.
     """
     urls = F.filter(F.array_distinct(F.concat(F.array(url_norm("url")), F.transform(F.coalesce("dups.url", F.expr("array()").cast("array<string>")), url_norm))), lambda u: u != "")
     key = F.concat_ws("|", F.get(F.split(title_key("company"), " "), F.lit(0)), title_key("role"))
@@ -67,6 +68,9 @@ def collapse_copies(rows: DataFrame, rules: Rules = RULES) -> DataFrame:
         F.filter(F.array(url_norm("orig")), lambda u: u != "").alias("points"),
     )
     boards = rules.boards
+    # rows that agree in all the merge reads are one row, known by its smallest id
+    fields = [c for c in x.columns if c != "row_id"]
+    x = x.groupBy(*fields).agg(F.min("row_id").alias("row_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pandas as pd  # in the worker only: the driver needs none

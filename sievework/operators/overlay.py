@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import company_is, has_word, is_board, text, url_norm
+from ..functions.region import PREFIXES
+from ..functions.text import company_is, has_word, is_board, quoted, text, url_norm
 
+#: Order of verdicts, and the band of scores of each (fixed values).
 VERDICT_RANK = {"YES": 3, "REACH": 2, "NO": 1}
 BANDS = {"YES": (70, 97), "REACH": (45, 69), "NO": (15, 44)}
 
@@ -101,21 +105,60 @@ def estimated_match(match: str = "match", fit: str = "fit") -> Column:
     return F.coalesce(F.col(match), F.least(guess, F.lit(65)))
 
 
-def page_query(rows: DataFrame, q: str = "", regions: tuple[str, ...] = (), least_match: int | None = None, verdicts: tuple[str, ...] = (), important_first: bool = True, sort: str = "match", ascending: bool = False) -> DataFrame:
-    """Filter and order of the page; pinned rows pass all but the search text."""
+#: Rows of a page; a page query never returns more (fixed value).
+PAGE_ROWS = 1_200
+
+
+def page_filter(q: str = "", date: str | None = None, regions: tuple[str, ...] = (), least_match: int | None = None, verdicts: tuple[str, ...] = (), status: tuple[str, ...] = (), flags: tuple[str, ...] = (), top: bool | None = None, hide_done: bool = False, hide_flags: tuple[str, ...] = ()) -> Column:
+    """The conditions of a page query, all optional, joined by "and".
+
+    ``q`` in company or role; pull date; region (missing is Unknown); a match that is rated must
+    reach ``least_match``; verdict ("unrated" for none); status; ``flags``: columns that must hold;
+    ``top``: a YES of 90 or more (True) or below (False); ``hide_done``: nothing sent, interviewed or
+    skipped; ``hide_flags``: columns that must not hold. Pinned rows (``important``) need pass only
+    the search text and ``hide_done``.
+    """
+    says = lambda c: F.coalesce(F.col(c), F.lit(False))
+    done = text("status").isin("Sent", "Interview", "Skip") if hide_done or status else None
     keep = F.lit(True)
+    if date is not None:
+        keep = keep & (F.col("pull_date") == date)
     if regions:
         keep = keep & F.coalesce("region", F.lit("Unknown")).isin(*regions)
     if least_match is not None:
         keep = keep & (F.col("match").isNull() | (F.col("match") >= least_match))
     if verdicts:
         keep = keep & (F.when(text("verdict") == "", "unrated").otherwise(F.col("verdict"))).isin(*verdicts)
-    pinned = F.coalesce("important", F.lit(False))
+    if status:
+        keep = keep & F.when(text("status") == "", "New").otherwise(F.col("status")).isin(*status)
+    if top is not None:
+        yes = text("verdict") == "YES"
+        keep = keep & yes & ((F.coalesce("match", F.lit(0)) >= 90) if top else (F.coalesce("match", F.lit(0)) < 90))
+    for c in flags:
+        keep = keep & says(c)
+    for c in hide_flags:
+        keep = keep & ~says(c)
     found = F.lower(F.concat_ws(" ", text("company"), text("role"))).contains(q.lower()) if q else F.lit(True)
-    key = {"match": estimated_match(), "date": F.col("pull_date"), "company": F.lower(text("company"))}[sort]
-    w = Window.orderBy(*([pinned.desc()] if important_first else []), key.asc() if ascending else key.desc(), F.col("row_id"))
-    # the window ranks what passed the filters; a page is of bounded size by its cap
-    return rows.filter((keep | pinned) & found).withColumn("rank", F.row_number().over(w))
+    return (keep | says("important")) & found & (~done if hide_done else F.lit(True))
+
+
+#: Columns a page is sorted by.
+SORTS = {
+    "match": lambda: estimated_match(), "date": lambda: F.col("pull_date"), "company": lambda: F.lower(text("company")), "role": lambda: F.lower(text("role")), "region": lambda: text("region"), "fit": lambda: F.coalesce("fit", F.lit(0)),
+    "flags": lambda: 2 * F.coalesce("referral", F.lit(False)).cast("int") + F.coalesce("giant", F.lit(False)).cast("int"),
+}
+
+
+def page_query(rows: DataFrame, sort: str = "match", ascending: bool = False, important_first: bool = True, most: int = PAGE_ROWS, **conditions) -> DataFrame:
+    """Rows that pass :func:`page_filter`, ranked: pinned ones first, then by a column of SORTS.
+
+    A page is the ``most`` first of them, a top-k; only these are numbered.
+    """
+    pinned = F.coalesce("important", F.lit(False))
+    key = SORTS[sort]()
+    order = [*([pinned.desc()] if important_first else []), key.asc() if ascending else key.desc(), F.col("row_id")]
+    page = rows.filter(page_filter(**conditions)).orderBy(*order).limit(most)
+    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def band_ok(verdict: str = "verdict", match: str = "match") -> Column:
@@ -126,6 +169,13 @@ def band_ok(verdict: str = "verdict", match: str = "match") -> Column:
     return out
 
 
+def names_any(c: Column, banned: tuple[str, ...]) -> Column:
+    """Any of the names as a whole word; a Hebrew name also behind one or two prefix letters."""
+    latin, hebrew = [b for b in banned if not re.search("[א-ת]", b)], [b for b in banned if re.search("[א-ת]", b)]
+    out = has_word(c, latin) if latin else F.lit(False)
+    return out | F.lower(c).rlike(rf"(?<![א-ת])[{PREFIXES}]{{0,2}}(?:{quoted(hebrew)})(?![א-ת])") if hebrew else out
+
+
 def sanitized(rows: DataFrame, keep: list[str], banned: tuple[str, ...], allow_all: bool = False) -> DataFrame:
     """Whitelisted columns of the rows whose text names nobody on the blocklist.
 
@@ -133,7 +183,7 @@ def sanitized(rows: DataFrame, keep: list[str], banned: tuple[str, ...], allow_a
     """
     if not banned and not allow_all:
         raise ValueError("a blocklist is required")
-    clean = rows.filter(~has_word(F.concat_ws(" ", text("company"), text("role"), text("loc")), banned)) if banned else rows
+    clean = rows.filter(~names_any(F.concat_ws(" ", text("company"), text("role"), text("loc")), banned)) if banned else rows
     out = clean.select(*keep)
     if set(out.columns) - set(keep):
         raise AssertionError("a column outside the whitelist would be published")

@@ -22,13 +22,18 @@ def self_check(df: DataFrame, keep: Iterable[str], bad) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, replacing the folder only when all is written."""
-    replace_table(df, path) if path.endswith(".parquet") else df.write.mode("overwrite").json(path)
+    replace_table(df, path, "json")
 
 
 def write_buckets(finished: DataFrame, folder: str) -> None:
-    """Every bucket's kept rows and its counters, partitioned by bucket."""
-    finished.filter("fate = 'kept'").write.mode("overwrite").partitionBy("bucket").json(f"{folder}/rows")
-    finished.groupBy("bucket", "fate", "reason").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").json(f"{folder}/counts")
+    """Every bucket's kept rows (with their ``bucket``) and its counters, each replaced as a whole."""
+    replace_table(finished.filter("fate = 'kept'"), f"{folder}/rows", "json")
+    replace_table(finished.groupBy("bucket", "fate", "reason").agg(F.count("*").alias("n")).coalesce(1), f"{folder}/counts", "json")
+
+
+def overflowing(finished: DataFrame, first: str = "junior_title") -> DataFrame:
+    """``bucket, n``: buckets whose cap cut off rows of the first priority."""
+    return finished.filter((F.col("fate") == "cap") & F.col(first)).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def render_page(df: DataFrame, template: str, slots: dict[str, str], limit: int = 2_000) -> str:

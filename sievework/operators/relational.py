@@ -12,15 +12,16 @@ from ..functions.text import norm_key, text
 
 
 def first_per_key(df: DataFrame, key: Column, order: list, keep_empty: bool = True) -> DataFrame:
-    """The first row of each key; rows with an empty key are all kept.
+    """The first row of each key by ``order`` (ascending, unique); rows with an empty key are all kept.
 
-    Rows without a key leave before the window, so a large share of them makes no hot group.
+    The least row is an aggregate that combines on the map side, so a key with a third of all rows
+    costs one row a task; rows without a key leave before it.
     """
     keyed = df.withColumn("_key", key)
     empty = F.col("_key").isNull() | (F.col("_key") == "")
-    w = Window.partitionBy("_key").orderBy(*order)
-    first = keyed.filter(~empty).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return (first.unionByName(keyed.filter(empty)) if keep_empty else first).drop("_key")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    first = keyed.filter(~empty).groupBy("_key").agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+    return first.unionByName(keyed.filter(empty).drop("_key")) if keep_empty else first
 
 
 def merge_new_over_existing(new: DataFrame, existing: DataFrame, key: Column, order: list) -> DataFrame:
@@ -33,7 +34,8 @@ def dedup_cross_source(jobs: DataFrame) -> DataFrame:
     """Merge one role seen at several sources; two postings of one source never merge.
 
     The r-th distinct posting of a source under a key lands in the r-th merged row, which is what
-    placing rows one by one would give. Masked employers collapse only by source and sid.
+    placing rows one by one would give. Masked employers collapse only by source and sid. A merged
+    row has at most one posting of each source, so its members are no more than there are sources.
     """
     co = norm_key("company")
     keyed = jobs.withColumn("_co", co).withColumn(
@@ -51,10 +53,13 @@ def dedup_cross_source(jobs: DataFrame) -> DataFrame:
 
 
 def newest_per_group(df: DataFrame, group: list[str], newest: list, n: int, uncapped: Column | None = None) -> DataFrame:
-    """The ``n`` newest rows of each group; groups for which ``uncapped`` holds keep all."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*newest)))
-    keep = F.col("_rn") <= n
-    return ranked.filter(keep | uncapped if uncapped is not None else keep).drop("_rn")
+    """The ``n`` newest rows of each group; rows for which ``uncapped`` holds are all kept.
+
+    Uncapped rows pass beside the window, whose rank filter then limits each group on the map side.
+    """
+    free = F.coalesce(uncapped, F.lit(False)) if uncapped is not None else F.lit(False)
+    ranked = df.filter(~free).withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*newest))).filter(F.col("_rn") <= n).drop("_rn")
+    return ranked.unionByName(df.filter(free)) if uncapped is not None else ranked
 
 
 def round_robin(df: DataFrame, lane: str, order: list, per_lane: int, total: int) -> DataFrame:
@@ -64,34 +69,38 @@ def round_robin(df: DataFrame, lane: str, order: list, per_lane: int, total: int
     return inside.withColumn("turn", F.row_number().over(Window.orderBy("_rn", lane))).filter(F.col("turn") <= total).drop("_rn")
 
 
-def cap_protected(df: DataFrame, protected: Column, cap: int, evict_first: list) -> DataFrame:
-    """At most ``cap`` rows, evicting unprotected ones in the given order; protected rows all stay.
+def cap_protected(df: DataFrame, protected: Column, cap: int, keep_first: list) -> DataFrame:
+    """At most ``cap`` rows, unprotected ones kept in the given order as far as there is room; protected rows all stay.
 
-    Only the unprotected are ranked, by a top-k of those that must go.
+    What is ranked is a top-k of the rows to keep, at most ``cap`` of them; the others are never sorted.
     """
-    n = df.agg(F.count("*").alias("n"), F.sum(F.when(protected, 0).otherwise(1)).alias("free")).first()
-    out = min(max(0, n.n - cap), n.free or 0)
-    if not out:
-        return df
-    gone = df.filter(~protected).orderBy(*evict_first).limit(out).select("ord")
-    return df.join(gone, "ord", "left_anti")
+    safe = F.coalesce(protected, F.lit(False))
+    room = max(0, cap - df.filter(safe).limit(cap).count())
+    return df.filter(safe).unionByName(df.filter(~safe).orderBy(*keep_first).limit(room))
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list, size: Column, budget: int, most: int) -> DataFrame:
-    """The prefix of each group that fits the budget: at most ``most`` rows, the first always."""
+    """The prefix of each group that fits the budget: at most ``most`` rows, the first always.
+
+    The rank limits each group to ``most`` rows on the map side before sizes are summed up.
+    """
     w = Window.partitionBy(*group).orderBy(*order)
-    running = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("rn", F.row_number().over(w)).withColumn("used", running).filter((F.col("rn") <= most) & ((F.col("rn") == 1) | (F.col("used") <= budget)))
+    head = df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+    running = F.sum(size).over(Window.partitionBy(*group).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
+    return head.withColumn("used", running).filter((F.col("rn") == 1) | (F.col("used") <= budget))
 
 
 def suppress_within_run(df: DataFrame, key: str, masked: Column) -> DataFrame:
-    """``blocked_by``: link of the first row of the key when it comes from another source (or is masked)."""
-    w = Window.partitionBy(key).orderBy("ord")
-    first = F.first_value(F.struct("ord", "source", "url")).over(w)
-    owned = F.col(key).isNotNull() & (F.col("_f.ord") < F.col("ord")) & (masked | ~F.col("source").eqNullSafe(F.col("_f.source")))
-    # rows without a key leave the window: they never block and may be many
-    keyed = df.filter(F.col(key).isNotNull()).withColumn("_f", first).withColumn("blocked_by", F.when(owned, text("_f.url"))).drop("_f")
-    return keyed.unionByName(df.filter(F.col(key).isNull()).withColumn("blocked_by", F.lit(None).cast("string")))
+    """``blocked_by``: link of the first row of the key when it comes from another source (or is masked).
+
+    The owner of a key is an aggregate that combines on the map side and is joined back; rows
+    without a key never block and stay out of both.
+    """
+    keyed = df.filter(F.col(key).isNotNull())
+    owners = keyed.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct("ord", "source", "url"), "ord").alias("_f"))
+    owned = (F.col("_f.ord") < F.col("ord")) & (masked | ~F.col("source").eqNullSafe(F.col("_f.source")))
+    judged = keyed.join(owners, F.col(key) == F.col("_k")).withColumn("blocked_by", F.when(owned, text("_f.url"))).drop("_f", "_k")
+    return judged.unionByName(df.filter(F.col(key).isNull()).withColumn("blocked_by", F.lit(None).cast("string")))
 
 
 def two_feed_union(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -111,9 +120,16 @@ def enrich_within_budget(listing: DataFrame, detail: DataFrame, key: str, order:
     return listing.join(full, key, "left").withColumn("enriched", F.coalesce("_chosen", F.lit(False))).withColumn(field, F.coalesce(field, F.lit(""))).drop("_chosen")
 
 
-def longest_rule(df: DataFrame, value: Column, rules: DataFrame, key: str, out: str, row_key: str) -> DataFrame:
-    """Each row's longest rule contained in ``value``; rules are few and broadcast after a count."""
-    small = rules if rules.limit(10_001).count() > 10_000 else F.broadcast(rules)
-    hit = df.select(row_key, value.alias("_v")).join(small, F.col("_v").contains(F.col(key)))
-    best = hit.groupBy(row_key).agg(F.max_by(F.struct(key, out), F.struct(F.length(key), F.col(key))).alias("_b"))
-    return df.join(best, row_key, "left").withColumn(out, F.col(f"_b.{out}")).withColumn("rule", F.col(f"_b.{key}")).drop("_b")
+def longest_rule(df: DataFrame, value: Column, rules: DataFrame, key: str, out: str) -> DataFrame:
+    """Each row's longest rule contained in ``value``.
+
+    Distinct values are cut into substrings of the lengths that rules have, which meet the rules in
+    an equality join, however many rules there are; a value costs its length times the number of
+    lengths. ``rules`` has each ``key`` once.
+    """
+    lengths = F.broadcast(rules.filter(F.length(key) > 0).agg(F.sort_array(F.collect_set(F.length(key))).alias("_ls")))  # one row
+    values = df.select(value.alias("_v")).filter("_v <> ''").distinct()
+    at = F.transform("_ls", lambda n: F.when(F.length("_v") >= n, F.transform(F.sequence(F.lit(1), F.length("_v") - n + 1), lambda i: F.substring(F.col("_v"), i, n))))
+    cut = values.join(lengths).select("_v", F.explode(F.array_distinct(F.flatten(F.filter(at, lambda x: x.isNotNull())))).alias(key))
+    best = cut.join(rules.select(key, out), key).groupBy("_v").agg(F.max_by(F.struct(key, out), F.struct(F.length(key), F.col(key))).alias("_b"))
+    return df.withColumn("_v", value).join(best, "_v", "left").withColumn(out, F.col(f"_b.{out}")).withColumn("rule", F.col(f"_b.{key}")).drop("_b", "_v")

@@ -79,12 +79,15 @@ def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite by writing beside the table and renaming, so readers see the old or the new one."""
+def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Overwrite by writing beside the table and renaming: readers see the old or the new one, never a part.
+
+    Between the two renames there is no table for a moment; one writer at a time is assumed.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.new_{uuid.uuid4().hex}", f"{path}.old_{uuid.uuid4().hex}"
-    df.write.parquet(new)
+    df.write.format(fmt).save(new)
     p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     fs = p(path).getFileSystem(conf)
     had = fs.exists(p(path)) and fs.rename(p(path), p(old))

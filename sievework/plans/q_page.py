@@ -117,22 +117,37 @@ def q_repick_link(rows: DataFrame) -> DataFrame:
 _MV = "coalesce(match, least(CASE WHEN coalesce(fit, 0) = 0 THEN 50 ELSE fit * 18 END, 65))"
 
 
-@reg.add("page_rows", sql=f"""SELECT row_id, row_number() OVER (ORDER BY coalesce(important, false) DESC, {_MV} DESC, row_id) AS rank FROM page_rows
-WHERE ((coalesce(region, 'Unknown') IN ('North', 'Unknown') AND (match IS NULL OR match >= 40) AND CASE WHEN coalesce(verdict, '') = '' THEN 'unrated' ELSE verdict END IN ('YES', 'REACH', 'unrated')) OR coalesce(important, false)) AND contains(lower(coalesce(company, '') || ' ' || coalesce(role, '')), 'engineer')""")
+@reg.add("page_rows", sql=f"""SELECT row_id, rank FROM (SELECT row_id, row_number() OVER (ORDER BY coalesce(important, false) DESC, {_MV} DESC, row_id) AS rank FROM page_rows
+WHERE ((coalesce(region, 'Unknown') IN ('North', 'Unknown') AND (match IS NULL OR match >= 40) AND CASE WHEN coalesce(verdict, '') = '' THEN 'unrated' ELSE verdict END IN ('YES', 'REACH', 'unrated')) OR coalesce(important, false)) AND contains(lower(coalesce(company, '') || ' ' || coalesce(role, '')), 'engineer')) WHERE rank <= {O.PAGE_ROWS}""")
 def q_page_query(rows: DataFrame) -> DataFrame:
     """Filter and order of the page."""
     return O.page_query(rows, q="engineer", regions=("North", "Unknown"), least_match=40, verdicts=("YES", "REACH", "unrated")).select("row_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+_STATUS = "CASE row_id % 5 WHEN 0 THEN 'Sent' WHEN 1 THEN 'Skip' WHEN 2 THEN 'Interview' WHEN 3 THEN 'New' ELSE '' END"
+
+
+@reg.add("page_rows", sql=f"""SELECT row_id, rank FROM (SELECT row_id, row_number() OVER (ORDER BY coalesce(important, false) DESC, 2 * CAST(referral AS INTEGER) + CAST(giant AS INTEGER) DESC, row_id) AS rank
+FROM (SELECT *, {_STATUS} AS status, {S.company_is('company', R.referral)} AS referral, {S.company_is('company', R.giants)} AS giant, {S.company_is('company', dict(R.company_rules)['broker'])} AS outsourced FROM page_rows)
+WHERE ((coalesce(tailor_ready, false) AND NOT outsourced AND verdict = 'YES' AND coalesce(match, 0) < 90) OR coalesce(important, false)) AND status NOT IN ('Sent', 'Interview', 'Skip')) WHERE rank <= {O.PAGE_ROWS}""")
+def q_page_flags(rows: DataFrame) -> DataFrame:
+    """The page's other conditions: marks, flags, rating below the top, what is done hidden; flagged companies first."""
+    status = F.element_at(F.array(*map(F.lit, ("Sent", "Skip", "Interview", "New", ""))), (F.col("row_id") % 5 + 1).cast("int"))
+    x = rows.withColumns({"status": status, "referral": T.company_is("company", R.referral), "giant": T.company_is("company", R.giants), "outsourced": T.company_is("company", dict(R.company_rules)["broker"])})
+    return O.page_query(x, sort="flags", flags=("tailor_ready",), hide_flags=("outsourced",), top=False, hide_done=True).select("row_id", F.col("rank").cast("bigint").alias("rank"))
+
+
 @reg.add("page_rows", sql="""SELECT 'date' AS facet, pull_date AS value, count(*) AS n FROM page_rows GROUP BY 2 UNION ALL SELECT 'region', coalesce(nullif(region, ''), 'Unknown'), count(*) FROM page_rows GROUP BY 2
 UNION ALL SELECT 'verdict', coalesce(nullif(verdict, ''), 'unrated'), count(*) FROM page_rows GROUP BY 2 UNION ALL SELECT 'fit', coalesce(CAST(fit AS VARCHAR), ''), count(*) FROM page_rows GROUP BY 2
-UNION ALL SELECT 'src', split_part(lower(trim(coalesce(src, ''))), ':', 1), count(*) FROM page_rows GROUP BY 2""")
+UNION ALL SELECT 'src', split_part(x, ':', 1), count(*) FROM (SELECT unnest(string_split(lower(trim(coalesce(src, ''))), '+')) AS x FROM page_rows) GROUP BY 2""")
 def q_facets(rows: DataFrame) -> DataFrame:
     """Facet counts of the page in one pass."""
     full = lambda c, d: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(d))
     pairs = F.array(*(F.struct(F.lit(n).alias("facet"), v.alias("value")) for n, v in (
-        ("date", F.col("pull_date")), ("region", full("region", "Unknown")), ("verdict", full("verdict", "unrated")), ("fit", full("fit", "")), ("src", F.substring_index(F.lower(F.trim(T.text("src"))), ":", 1)),
+        ("date", F.col("pull_date")), ("region", full("region", "Unknown")), ("verdict", full("verdict", "unrated")), ("fit", full("fit", "")),
     )))
+    families = F.transform(F.split(F.lower(F.trim(T.text("src"))), r"\+"), lambda x: F.struct(F.lit("src").alias("facet"), F.substring_index(x, ":", 1).alias("value")))
+    pairs = F.concat(pairs, families)
     return rows.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
 
 

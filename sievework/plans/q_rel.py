@@ -126,7 +126,7 @@ def q_cap_protected(rows: DataFrame) -> DataFrame:
     """The page cut to 120 rows without touching protected ones."""
     r = rows.withColumn("ord", F.col("row_id"))
     keep = T.text("verdict").isin("YES", "REACH") | F.coalesce("important", F.lit(False)) | F.coalesce("tailor_ready", F.lit(False))
-    return Q.cap_protected(r, keep, 120, [F.col("pull_date"), F.col("row_id").desc()]).select("row_id")
+    return Q.cap_protected(r, keep, 120, [F.col("pull_date").desc(), F.col("row_id")]).select("row_id")
 
 
 @reg.add("documents", sql="""SELECT doc_id, rn, used FROM (SELECT doc_id, row_number() OVER w AS rn, CAST(sum(coalesce(n_chars, 0) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE rn <= 12 AND (rn = 1 OR used <= 3800)""")
@@ -154,7 +154,7 @@ def _review_bucket(postings: DataFrame) -> DataFrame:
     routed = cut(C.routed(C.classify(C.facts(C.normalize(postings)))).select("ord", "routes", "on_page", "company", "title", "url", "region", "city", "source", "desc", "junior_title"))
     rows = C.bucket_rows(routed)
     on_page = routed.filter("on_page").select("url")
-    return B.finish_bucket(rows.filter("bucket = 'review'"), [("on-page", on_page), ("in-giant", rows.filter("bucket = 'giant'").select("url"))], 50, [F.col("junior_title").desc(), F.col("ord")])
+    return B.finish_bucket(rows.filter("bucket = 'review'"), [("on-page", on_page), ("in-giant", rows.filter("bucket = 'giant'").select("url"))], 50, [~F.col("junior_title"), F.col("ord")])
 
 
 @reg.add("postings", sql=_BK + "SELECT ord, reason, fate FROM fate")
@@ -203,7 +203,7 @@ SELECT p.ord, h.n AS rule, h.place_id FROM postings p LEFT JOIN h ON p.ord = h.o
 def q_longest_match(postings: DataFrame, places: DataFrame) -> DataFrame:
     """Each city's longest contained place name."""
     rules = places.groupBy(F.lower(F.trim("name_en")).alias("n")).agg(F.min("place_id").alias("place_id"))
-    return Q.longest_rule(postings, F.lower(T.text("city")), rules, "n", "place_id", "ord").select("ord", "rule", "place_id")
+    return Q.longest_rule(postings, F.lower(T.text("city")), rules, "n", "place_id").select("ord", "rule", "place_id")
 
 
 @reg.add("postings", sql=f"""SELECT ord FROM postings p WHERE source LIKE 'orbitats:%' AND NOT EXISTS (SELECT 1 FROM postings q WHERE q.source LIKE 'stackhire:%' AND {S.norm_key('q.title')} = {S.norm_key('p.title')})""")

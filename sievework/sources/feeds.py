@@ -16,10 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.extract import html_text, level_of, strip_request_prefix, tags, years_by
+from ..functions.extract import day_number, html_text, level_of, strip_request_prefix, tags, years_by
 from ..functions.rules import RULES
-from ..functions.text import quoted, text
-from ..operators.relational import first_per_key
+from ..functions.text import norm_key, quoted, text
+from ..operators.checkpoint import cut
+from ..operators.relational import first_per_key, newest_per_group, round_robin
 
 #: Fields of a posting as every adapter gives them.
 POSTING = "source string, sid string, title string, company string, city string, url string, level string, years_min int, years_max int, tech array<string>, desc string, active boolean, ord bigint"
@@ -53,18 +54,24 @@ class Feed:
     years: str = "first"
     steps: tuple[Step, ...] = ()
     cap: int | None = None
+    #: json/lines: expression over the payload ``d`` that gives its place among the payloads; else files count by name
+    page: str = ""
+    #: a page without any new item is a server's repeat: it and all later pages are left out
+    stop_on_repeat: bool = False
 
 
 def _payloads(spark: SparkSession, feed: Feed) -> DataFrame:
-    """``item`` with ``_file`` and ``_pos``, one row for each item of each payload file."""
+    """``item`` with ``_file``, ``_page`` and ``_pos``, one row for each item of each payload; an empty payload has a null item."""
     if feed.kind == "xml":
         df = spark.read.format("xml").option("rowTag", feed.items).option("mode", "PERMISSIVE").schema(feed.schema).load(feed.path)
-        return df.select(F.struct(*df.columns).alias("item"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+        return df.select(F.struct(*df.columns).alias("item"), F.col("_metadata.file_path").alias("_file"), F.lit(None).cast("bigint").alias("_page"), F.monotonically_increasing_id().alias("_pos"))
     raw = spark.read.option("wholetext", feed.kind != "lines").text(feed.path).select("value", F.col("_metadata.file_path").alias("_file"))
     if feed.kind == "lines":
         raw = raw.filter(F.trim("value") != "")
+    page = F.lit(None).cast("bigint")
     if feed.kind in ("json", "lines"):
         doc = raw.select("_file", F.from_json("value", feed.schema).alias("d"))
+        page = F.expr(feed.page).cast("bigint") if feed.page else page
     elif feed.kind == "script":
         body = F.regexp_extract("value", rf"(?is){feed.opening}\s*(.*?)\s*;?\s*</script>", 1)
         if feed.twice:
@@ -72,14 +79,26 @@ def _payloads(spark: SparkSession, feed: Feed) -> DataFrame:
         doc = raw.select("_file", F.from_json(body, feed.schema).alias("d"))
     else:
         cards = F.regexp_extract_all("value", F.lit(feed.items), 0)
-        return raw.select("_file", F.posexplode(cards).alias("_pos", "item"))
+        return raw.select("_file", page.alias("_page"), F.posexplode_outer(cards).alias("_pos", "item"))
     listed = F.expr(feed.items) if feed.items else F.array("d")
-    return doc.filter("d is not null").select("_file", F.posexplode(listed).alias("_pos", "item"))
+    return doc.filter("d is not null").select("_file", page.alias("_page"), F.posexplode_outer(listed).alias("_pos", "item"))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_page`` as the number of the payload and ``ord`` by payload and place in it.
+
+    Payloads that do not number themselves count by the names of their files: the distinct names are
+    ranked, never the items.
+    """
+    files = rows.filter("_page is null").select("_file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("bigint"))
+    numbered = rows.join(files, "_file", "left").withColumn("_page", F.coalesce("_page", "_no")).drop("_no")
+    return numbered.withColumn("ord", F.call_function("shiftleft", F.col("_page"), F.lit(34)) + F.coalesce(F.col("_pos").cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
     """Postings of one feed in the common shape; unreadable payloads give no rows."""
-    rows = _payloads(spark, feed)
+    every = _in_order(_payloads(spark, feed))
+    rows = every.filter("item is not null")
     get = (lambda c: F.regexp_extract("item", feed.fields[c], 1)) if feed.kind == "html" else (lambda c: F.expr(feed.fields[c]))
     rows = rows.withColumns({f"f_{c}": get(c) for c in feed.fields})
     has = lambda c: F.col(f"f_{c}") if c in feed.fields else None
@@ -94,11 +113,12 @@ def read_feed(spark: SparkSession, feed: Feed) -> DataFrame:
         F.when(value("company") != "", value("company")).otherwise(feed.company).alias("company"), value("city").alias("city"), value("url").alias("url"), level.alias("level"),
         (has("years_min").cast("int") if "years_min" in feed.fields else years["lo"]).alias("years_min"), (has("years_max").cast("int") if "years_max" in feed.fields else years["hi"]).alias("years_max"),
         (has("tech").cast("array<string>") if "tech" in feed.fields else tags("_desc", RULES.vocabulary)).alias("tech"), F.col("_desc").alias("desc"),
-        (F.coalesce(has("active").cast("boolean"), F.lit(True)) if "active" in feed.fields else F.lit(True)).alias("active"), *([has("updated").alias("updated")] if "updated" in feed.fields else []), "_file", "_pos",
+        (F.coalesce(has("active").cast("boolean"), F.lit(True)) if "active" in feed.fields else F.lit(True)).alias("active"), *([has("updated").alias("updated")] if "updated" in feed.fields else []), "_page", "ord",
     )
-    # list order: files by name, items by place; a window over keys only
-    out = out.withColumn("ord", F.xxhash64("_file").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(1 << 20) + F.col("_pos"))
     out = first_per_key(out, F.concat_ws("\u0001", "source", "sid"), [F.col("ord")])
+    if feed.stop_on_repeat:
+        stop = every.select("_page").distinct().join(out.select("_page").distinct(), "_page", "left_anti").agg(F.min("_page")).first()[0]
+        out = out if stop is None else out.filter(F.col("_page") < stop)
     for step in feed.steps:
         out = step(out)
     if feed.cap is not None:
@@ -130,17 +150,58 @@ def only_active(df: DataFrame) -> DataFrame:
 
 def newest(n: int, uncapped: Iterable[str] = ()) -> Step:
     """The newest ``n`` of each board (needs an ``updated`` field); some boards whole."""
+    return lambda df: newest_per_group(df, ["source"], [F.col("updated").desc_nulls_last(), F.col("ord")], n, F.col("source").isin(*uncapped))
+
+
+def newest_by_day(n: int) -> Step:
+    """The newest ``n`` by a date written in words (field ``updated``), unreadable dates last."""
+    return lambda df: df.orderBy(day_number("updated").desc(), "ord").limit(n)
+
+
+def dealt_details(details: DataFrame, lane: Column, per_lane: int, total: int) -> Step:
+    """Texts from detail records (sid, desc), read in turns: the first of each lane, then the second, within both budgets."""
+
+    def step(df: DataFrame) -> DataFrame:
+        chosen = round_robin(df.select("source", "sid", "ord", lane.alias("_lane")), "_lane", [F.col("ord")], per_lane, total).select("source", "sid")
+        full = details.join(chosen.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.max_by("desc", F.length("desc")).alias("_full"))
+        picked = df.join(chosen.withColumn("_in", F.lit(True)), ["source", "sid"], "left").join(full, "sid", "left")
+        return picked.withColumn("desc", F.when(F.col("_in"), F.coalesce("_full", "desc")).otherwise(F.col("desc"))).drop("_full", "_in")
+
+    return step
+
+
+def without_titles_of(other: DataFrame) -> Step:
+    """Rows whose title the other site does not have."""
+    return lambda df: df.withColumn("_nt", norm_key("title")).join(other.select(norm_key("title").alias("_nt")).distinct(), "_nt", "left_anti").drop("_nt")
+
+
+def best_places(rank: Column, most: int = 3) -> Step:
+    """Of several places in ``city`` (split at ``;``) the ``most`` best by ``rank`` of ``place``, joined by slashes; those of rank null leave."""
 
     def step(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("source").orderBy(F.col("updated").desc(), "ord")
-        return df.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= n) | F.col("source").isin(*uncapped)).drop("_rn")
+        each = df.select("source", "sid", F.posexplode(F.split("city", r"\s*;\s*")).alias("_i", "place")).withColumn("_r", rank).filter("_r is not null and place <> ''")
+        best = each.groupBy("source", "sid").agg(F.array_sort(F.collect_set(F.struct("_r", "_i", "place"))).alias("_ps")).select("source", "sid", F.array_join(F.transform(F.slice("_ps", 1, most), lambda p: p["place"]), " / ").alias("_city"))
+        return df.join(best, ["source", "sid"], "left").withColumn("city", F.coalesce("_city", F.lit(""))).drop("_city")
 
     return step
 
 
-def without_repeated_pages(df: DataFrame) -> DataFrame:
-    """Pages of which every item stood on an earlier page are a server's repeat: dropped by key."""
-    return first_per_key(df, F.col("sid"), [F.col("ord")])
+def union_first(*feeds: DataFrame) -> DataFrame:
+    """Several passes over one source: the first pass that has a posting wins; list order goes by pass."""
+    every = reduce(lambda a, b: a.unionByName(b), [f.withColumn("ord", F.call_function("shiftleft", F.lit(i).cast("bigint"), F.lit(58)) + F.col("ord")) for i, f in enumerate(feeds)])
+    return first_per_key(every, F.concat_ws("\u0001", "source", "sid"), [F.col("ord")])
+
+
+def validated(strategies: list[DataFrame], good: Column, least: float = 0.8) -> DataFrame:
+    """Rows of the first strategy (a server's filter) of which at least ``least`` are ``good``; else the good rows of the last.
+
+    A filter that a server ignores shows by that share; good rows are then filtered here.
+    """
+    for df in strategies:
+        share = df.agg(F.avg(F.coalesce(good, F.lit(False)).cast("double"))).first()[0]
+        if share is not None and share >= least:
+            return df.filter(good)
+    return strategies[-1].filter(good)
 
 
 def truncated(n: int) -> Step:
@@ -191,9 +252,7 @@ def collect(spark: SparkSession, names: Iterable[str], adapters: dict[str, Calla
             continue
         named.append(n)
         try:
-            df = adapters[n](spark)
-            df.schema  # analysis errors show here; bad records never raise
-            parts.append(df.withColumn("_adapter", F.lit(n)))
+            parts.append(cut(adapters[n](spark)).withColumn("_adapter", F.lit(n)))  # written at once, so errors at run time show here
         except Exception:  # noqa: BLE001 - one source must not stop the run
             failed.append(n)
     empty = spark.createDataFrame([], POSTING + ", _adapter string")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import cut, shared_folder
 from ..operators.state import read_state, register, replace_table, soft_block
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -30,23 +31,39 @@ def stream_health(events: DataFrame, kind: str = "event_type", ts: str = "ts", l
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), kind).agg(F.count("*").alias("n"))
 
 
+REGISTRY = "k string, seen string, u string, src string, city string"
+
+
 def stream_registry(jobs: DataFrame, state_path: str, out_path: str, as_of: str, checkpoint: str):
-    """Admit each micro-batch of ``jobs`` (ord, source, url, city_key, soft, legacy) against the registry."""
-    schema = "k string, seen string, u string, src string, city string"
+    """Admit each micro-batch of ``jobs`` (ord, source, url, city_key, soft, legacy) against the registry.
+
+    Batch n reads the registry that batch n - 1 left and replaces its own output and its own version
+    of the registry, so a batch that runs again gives the same rows once.
+    """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, n: int) -> None:
         from pyspark.sql.types import _parse_datatype_string
 
-        registry = read_state(batch.sparkSession, state_path, _parse_datatype_string(schema))
-        judged = soft_block(batch, registry, as_of).checkpoint()
-        judged.write.mode("append").parquet(out_path)
-        replace_table(register(judged.filter("blocked_by is null"), registry, as_of), state_path)
+        registry = read_state(batch.sparkSession, f"{state_path}/after={n - 1}", _parse_datatype_string(REGISTRY))
+        judged = cut(soft_block(batch, registry, as_of))
+        replace_table(judged, f"{out_path}/batch={n}")
+        replace_table(register(judged.filter("blocked_by is null"), registry, as_of), f"{state_path}/after={n}")
 
     return jobs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a bounded stream to its end into a memory table (tests and small results)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a bounded stream to its end into files of the shared folder; the driver holds no rows.
+
+    A batch replaces its own folder; in complete mode only the last batch counts.
+    """
+    base, last = f"{shared_folder(spark)}/{name}", []
+
+    def run(batch: DataFrame, n: int) -> None:
+        replace_table(batch, f"{base}/rows/batch={n}")
+        last.append(n)
+
+    q = df.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    paths = sorted({f"{base}/rows/batch={n}" for n in (last if mode == "append" else last[-1:])})
+    return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)

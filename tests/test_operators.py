@@ -114,7 +114,7 @@ def test_suppression_equals_loop(spark):
 
 def test_caps_and_budgets(spark):
     df = spark.range(20).select(F.col("id").alias("ord"), (F.col("id") % 5 == 0).alias("keep"))
-    kept = {r.ord for r in R.cap_protected(df, F.col("keep"), 10, ["ord"]).collect()}
+    kept = {r.ord for r in R.cap_protected(df, F.col("keep"), 10, [F.col("ord").desc()]).collect()}
     assert kept == {0, 5, 10, 15, 14, 16, 17, 18, 19, 13}
     assert R.cap_protected(df, F.lit(True), 3, ["ord"]).count() == 20  # protected rows all stay
     d = spark.createDataFrame([("g", i, n) for i, n in enumerate((500, 10, 10))], "g string, ord int, n int")

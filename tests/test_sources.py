@@ -34,6 +34,23 @@ def test_xml_items_and_names(spark, tmp_path):
     assert sorted(r.name for r in S.name_list(spark, str(tmp_path / "names.txt")).collect()) == ["acme", "bolt"]
 
 
+def test_pages_count_by_name_and_stop_at_a_repeat(spark, tmp_path):
+    page = lambda n, *ids: (tmp_path / f"p{n}.json").write_text(json.dumps({"jobs": [{"id": i} for i in ids]}))
+    page(1, 11, 12), page(2, 21), page(3, 11, 21), page(4, 41), page(5, 51)
+    feed = lambda **k: S.Feed("a", str(tmp_path / "*.json"), schema="jobs array<struct<id:long>>", items="d.jobs", fields={"sid": "item.id"}, **k)
+    read = lambda f: [r.sid for r in S.read_feed(spark, f).orderBy("ord").collect()]
+    assert read(feed()) == ["11", "12", "21", "41", "51"] and read(feed(cap=2)) == ["11", "12"]
+    assert read(feed(stop_on_repeat=True)) == ["11", "12", "21"]
+
+
+def test_best_places_and_validated(spark):
+    df = spark.createDataFrame([("s", "1", "Velograd; Haifa; Acre; Lod"), ("s", "2", "Velograd"), ("s", "3", "")], "source string, sid string, city string")
+    rank = F.when(F.col("place") == "Acre", 0).when(F.col("place").isin("Haifa", "Lod"), 1)
+    assert {r.sid: r.city for r in S.best_places(rank, 2)(df).collect()} == {"1": "Acre / Haifa", "2": "", "3": ""}
+    good = F.col("city").contains("Haifa")
+    assert S.validated([df, df.filter("sid = '1'")], good).count() == 1 and S.validated([df.filter("sid = '2'")], good).count() == 0
+
+
 def test_steps(spark):
     df = spark.createDataFrame([("1", "Springfield, IL, US", "s", 1, "x"), ("2", "Haifa, IL", "s", 2, "y")], "sid string, city string, source string, ord int, desc string")
     assert [r.sid for r in S.last_country("IL")(df).collect()] == ["2"]
@@ -65,7 +82,7 @@ def test_stream_registry(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
     schema = "ord long, source string, url string, city_key string, soft string, legacy string"
     for i, src in enumerate(("a", "b")):
-        spark.createDataFrame([(i, src, f"u{i}", "x", "k", None)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-        jobs = spark.readStream.schema(schema).parquet(str(tmp_path / f"in/{i}"))
-        ST.stream_registry(jobs, str(tmp_path / "state"), str(tmp_path / "out"), "2026-02-01", str(tmp_path / f"q{i}")).awaitTermination()
+        spark.createDataFrame([(i, src, f"u{i}", "x", "k", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ST.stream_registry(jobs, str(tmp_path / "state"), str(tmp_path / "out"), "2026-02-01", str(tmp_path / "q")).awaitTermination()
     assert {r.ord: r.blocked_by for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: None, 1: "u0"}
