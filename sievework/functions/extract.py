@@ -238,6 +238,55 @@ def cut_at_markers(c: ColumnLike, markers: Iterable[str]) -> Column:
     return F.when(at.isNull(), s).otherwise(F.trim(F.left(s, at - 1)))
 
 
+def two_parts(role: ColumnLike, asked: ColumnLike, budget: int, least: int = 900, gap: str = "\n") -> Column:
+    """Two texts in one budget: the first keeps at least ``least`` characters, the second takes the rest, what it leaves goes back."""
+    a, b = text(role), text(asked)
+    room = F.lit(budget) - F.when((a != "") & (b != ""), len(gap)).otherwise(0)
+    first = F.least(F.length(a), F.greatest(F.lit(least), room - F.length(b)))
+    second = F.least(F.length(b), F.greatest(room - first, F.lit(0)))
+    return F.concat(F.left(a, first), F.when((a != "") & (second > 0), gap).otherwise(""), F.left(b, second))
+
+
+def first_filled(*cs: ColumnLike) -> Column:
+    """The first of the values that is not empty; '' if all are."""
+    return F.coalesce(*(F.nullif(F.trim(text(c)), F.lit("")) for c in cs), F.lit(""))
+
+
+def flat_json(c: ColumnLike) -> Column:
+    """All scalar values of any JSON, at whatever depth, in order, joined by blanks; '' for what is no JSON.
+
+    Object keys, brackets and literals without a text (null) leave; strings are unescaped.
+    """
+    s = text(c)
+    token = r'"(?:[^"\\]|\\.)*"\s*:?|-?[0-9][0-9.eE+-]*|true|false'
+    values = F.filter(F.regexp_extract_all(s, F.lit(token), 0), lambda t: ~t.rlike(r'^".*"\s*:$'))
+    plain = F.transform(values, lambda t: F.when(t.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x")).otherwise(t))
+    return F.when(F.try_parse_json(s).isNotNull(), F.array_join(F.filter(plain, lambda t: F.trim(t) != ""), " ")).otherwise("")
+
+
+def without_spans(c: ColumnLike, spans: Iterable[tuple[str, str]], most: int = 300, every: bool = True) -> Column:
+    """The text without boilerplate from each opening to the nearest closing at most ``most`` characters on; ``every`` or the first."""
+    s = text(c)
+    for a, b in spans:
+        p = rf"(?is){quoted([a])}.{{0,{most}}}?{quoted([b])}"
+        s = F.regexp_replace(s, p, " ") if every else F.regexp_replace(s, rf"(?is)^(.*?){p}(.*)$", "$1 $2")
+    return F.trim(F.regexp_replace(s, "[ \t]{2,}", " "))
+
+
+def canonical_city(c: ColumnLike, aliases: Iterable[tuple[str, str]], countries: Iterable[str], drop: Iterable[str] = (), most: int = 3) -> Column:
+    """Cities of a location, in order: split, country names off, aliases replaced, dropped ones out, at most ``most``, joined by slashes.
+
+    If only dropped cities are named, those stay.
+    """
+    aliases, countries, drop = dict(aliases), tuple(countries), tuple(drop)
+    fold = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    parts = F.filter(F.transform(F.split(text(c), r"[;,/|]"), lambda x: F.trim(F.regexp_replace(x, r"\([^)]*\)", ""))), lambda x: (x != "") & ~fold(x).isin(*countries))
+    named = F.transform(parts, lambda x: F.coalesce(F.element_at(F.create_map(*[F.lit(y) for p in aliases.items() for y in p]), fold(x)), x) if aliases else x)
+    every = F.array_distinct(named)
+    near = F.filter(every, lambda x: ~fold(x).isin(*drop)) if drop else every
+    return let(F.when(F.size(near) > 0, near).otherwise(every), lambda xs: F.array_join(F.slice(xs, 1, most), " / "))
+
+
 def labelled(c: ColumnLike, labels: Iterable[str]) -> Column:
     """``label: value | label: value`` of the labels present, values up to a bar or line end."""
     s = text(c)

@@ -64,6 +64,11 @@ class Rules:
             ("web", ("react", "node", "typescript", "frontend", "customer-facing")),
         )
     )
+    #: roles of the trade beyond the gate, what rules them out, and titles that are read as another
+    digest_roles: tuple[str, ...] = ("engineer", "analyst", "tester", "architect", "researcher")  # whole word
+    digest_roles_he: tuple[str, ...] = ("מהנדס", "אנליסט", "בודק", "חוקר")  # substring
+    digest_skip: tuple[str, ...] = ("sales", "manager", "technician", "mechanical", "electrical", "civil", "process", "product engineer")  # whole word
+    digest_reads: tuple[tuple[str, str], ...] = (("technical product engineer", "technical product role"),)
     #: decision -> reason given
     reasons: dict[str, str] = field(
         default_factory=lambda: {
