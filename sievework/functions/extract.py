@@ -19,7 +19,7 @@ RANGE = rf"(^|[^0-9.]){_N} ?\+? ?(?:-|to |עד ?) ?\d{{1,2}}(?:\.\d)? ?\+? ?{UNI
 #: What stands right before a number that is a ceiling or history (at most twelve characters between, no digit).
 BLOCK_BEFORE = (
     r"(?:up to|at most|maximum|no more than|less than|fewer than|under|below|within|founded|established|operating for|in business for|since|(?:over|in|for) the (?:last|past)|last|past|history of"
-    r"|עד|תוך|פחות מ|לא יותר מ|מנטור עם|קיימת|מזה|לפני)[^0-9]{0,12}$"
+    r"|עד|תוך|פחות מ|לא יותר מ|מנטור עם|קיימת|מזה|לפני)[^0-9]{0,12}\z"
 )
 #: What stands within 24 characters behind a number that is history or no experience at all.
 BLOCK_AFTER = r"^[^\n.;]{0,12}(?:\bago\b|\bsince\b|of (?:growth|history|innovation|operation|success)|in business|warranty|anniversary|\bold\b|track record|אחריות)"
@@ -44,7 +44,7 @@ def _asked(t: Column, at: Column, end: Column) -> Column:
     """Whether the number from ``at`` to ``end`` (1-based, exclusive) of the flat text ``t`` is asked for."""
     before = lambda n: F.substring(t, F.greatest(at - n, F.lit(1)), F.least(F.lit(n), at - 1))
     behind = lambda n: F.substring(t, end, F.lit(n))
-    own = F.concat_ws(" # ", F.regexp_replace(F.regexp_extract(before(OWN[0]), _STATEMENT + "$", 0), "^.* - ", ""), F.regexp_replace(F.regexp_extract(behind(OWN[1]), "^" + _STATEMENT, 0), _NEXT, ""))
+    own = F.concat_ws(" # ", F.regexp_replace(F.regexp_extract(before(OWN[0]), _STATEMENT + r"\z", 0), "^.* - ", ""), F.regexp_replace(F.regexp_extract(behind(OWN[1]), "^" + _STATEMENT, 0), _NEXT, ""))
     header = F.regexp_extract(before(HEADER), LAST_HEADER, 1)
     return ~before(AROUND[0]).rlike(BLOCK_BEFORE) & ~behind(AROUND[1]).rlike(BLOCK_AFTER) & ~own.rlike(OPTIONAL) & ~header.rlike(f"^(?:{OPTIONAL_HEADER})$")
 
@@ -258,9 +258,12 @@ def flat_json(c: ColumnLike) -> Column:
     Object keys, brackets and literals without a text (null) leave; strings are unescaped.
     """
     s = text(c)
-    token = r'"(?:[^"\\]|\\.)*"\s*:?|-?[0-9][0-9.eE+-]*|true|false'
-    values = F.filter(F.regexp_extract_all(s, F.lit(token), 0), lambda t: ~t.rlike(r'^".*"\s*:$'))
-    plain = F.transform(values, lambda t: F.when(t.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), t, F.lit("}")), "$.x")).otherwise(t))
+    # escaped signs stand aside, so that a string is a quote, no quotes, a quote: one loop over a class, of any length
+    aside = F.replace(F.replace(s, F.lit("\\\\"), F.lit("\ue000")), F.lit('\\"'), F.lit("\ue001"))
+    back = lambda t: F.replace(F.replace(t, F.lit("\ue001"), F.lit('\\"')), F.lit("\ue000"), F.lit("\\\\"))
+    token = r'"[^"]*"\s*:?|-?[0-9][0-9.eE+-]*|true|false'
+    values = F.filter(F.regexp_extract_all(aside, F.lit(token), 0), lambda t: ~F.rtrim(t).endswith(":"))
+    plain = F.transform(values, lambda t: F.when(t.startswith('"'), F.get_json_object(F.concat(F.lit('{"x":'), back(t), F.lit("}")), "$.x")).otherwise(t))
     return F.when(F.try_parse_json(s).isNotNull(), F.array_join(F.filter(plain, lambda t: F.trim(t) != ""), " ")).otherwise("")
 
 

@@ -126,6 +126,11 @@ def routed(c: DataFrame, r: Rules = RULES) -> DataFrame:
     return c.withColumn("routes", F.filter(routes, lambda v: v.isNotNull())).withColumn("on_page", F.coalesce(page, F.lit(False)))
 
 
+def only(df: DataFrame, keep: str) -> DataFrame:
+    """Rows for which column ``keep`` holds, without a copy of its whole expression in a pushed filter."""
+    return df.withColumn("_keep", F.explode_outer(F.array(F.col(keep)))).filter("_keep").drop("_keep")
+
+
 def bucket_rows(c: DataFrame) -> DataFrame:
     """One row for each route, in the shape of a bucket file.
 

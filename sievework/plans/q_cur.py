@@ -142,7 +142,7 @@ def q_staleness(postings: DataFrame) -> DataFrame:
 SELECT ord, 'auto-2026-06-30-' || family || '-' || CAST(row_number() OVER (PARTITION BY family ORDER BY ord) - 1 AS VARCHAR) AS id, CASE WHEN coalesce(company, '') = '' THEN '(masked)' ELSE company END AS company, coalesce(source, '') AS src, (referral OR giant) AND (lane = 'apply' OR tailor) AS alert FROM m""")
 def q_tracker_rows(postings: DataFrame) -> DataFrame:
     """Rows of the tracker with their ids, sources and alert flags."""
-    roles = classified(postings).filter("lane in ('apply', 'reach')").withColumn("sources", F.array(T.text("source")))
+    roles = C.only(classified(postings).withColumn("act", F.col("lane").isin("apply", "reach")), "act").withColumn("sources", F.array(T.text("source")))
     return CU.tracker_rows(roles, AS_OF).select("ord", "id", "company", "src", "alert")
 
 

@@ -138,7 +138,8 @@ def q_budget_prefix(docs: DataFrame) -> DataFrame:
 @reg.add("postings", sql="WITH " + S.FACTS + "SELECT ord, rn, CAST((rn - 1) // 10 AS INTEGER) AS message FROM (SELECT ord, row_number() OVER (ORDER BY referral DESC, ord) AS rn FROM fitted WHERE (referral OR giant) AND (lane = 'apply' OR tailor)) WHERE rn <= 60")
 def q_alert_batches(postings: DataFrame) -> DataFrame:
     """Alerts in messages of ten, referrals first."""
-    c = C.classify(C.facts(C.normalize(postings))).filter("(referral or giant) and (lane = 'apply' or tailor)")
+    act = (F.col("referral") | F.col("giant")) & ((F.col("lane") == "apply") | F.col("tailor"))
+    c = C.only(C.classify(C.facts(C.normalize(postings))).withColumn("act", act), "act")
     return B.alert_batches(c.select("ord", "referral")).select("ord", F.col("rn").cast("bigint").alias("rn"), "message")
 
 

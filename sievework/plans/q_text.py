@@ -54,7 +54,7 @@ def q_route_buckets(postings: DataFrame) -> DataFrame:
 @reg.add("postings", sql="WITH " + S.FACTS + f"SELECT ord, lane, region FROM fitted WHERE {S.ON_PAGE}")
 def q_page_gate(postings: DataFrame) -> DataFrame:
     """Rows that stay on the page."""
-    return C.routed(classified(postings)).filter("on_page").select("ord", "lane", "region")
+    return C.only(C.routed(classified(postings)), "on_page").select("ord", "lane", "region")
 
 
 @reg.add("postings", sql=f"SELECT p.ord, y.ymin FROM postings p LEFT JOIN ({S.YEARS}) y USING (ord)")

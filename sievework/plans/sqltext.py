@@ -86,7 +86,7 @@ def _before(n: int) -> str:
 
 
 _OWN = (
-    f"regexp_replace(regexp_extract({_before(X.OWN[0])}, {lit(X._STATEMENT + '$')}, 0), '^.* - ', '') || ' # ' || "
+    f"regexp_replace(regexp_extract({_before(X.OWN[0])}, {lit(X._STATEMENT + chr(92) + 'z')}, 0), '^.* - ', '') || ' # ' || "
     f"regexp_replace(regexp_extract(substr(s, e, {X.OWN[1]}), {lit('^' + X._STATEMENT)}, 0), {lit(X._NEXT)}, '')"
 )
 #: ord, ymin: years required by each posting's text, one row for each number found.
