@@ -37,7 +37,8 @@ _STATEMENT, _NEXT = r"[^\n.;•]*", rf" - (?:[^ ]+ +){{{REMARK}}}[^ ].*$"
 
 
 def _flat(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(text(c)), "–—\r\t ", "--   "), " +", " ")
+    one = F.translate(F.lower(text(c)), "–—\r\t ", "--   ")
+    return let(one, lambda x: F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
 
 
 def _asked(t: Column, at: Column, end: Column) -> Column:
@@ -60,7 +61,8 @@ def parse_years(c: ColumnLike) -> Column:
 
     def years(t: Column) -> Column:
         up = lambda x: F.ceil(x.cast("double")).cast("int")
-        ranges = F.regexp_extract_all(t, F.lit(RANGE), 2)
+        # a cheap look for a digit before a dash or a word of a range saves most texts the long pattern
+        ranges = F.when(t.rlike(r"[0-9] ?\+? ?(?:-|to |עד)"), F.regexp_extract_all(t, F.lit(RANGE), 2)).otherwise(F.array().cast("array<string>"))
 
         def both(r: Column) -> Column:
             rest = F.when(F.size(r) > 0, F.regexp_replace(t, RANGE, "$1 ~ ")).otherwise(t)
@@ -82,7 +84,7 @@ def parse_years(c: ColumnLike) -> Column:
         return let(ranges, both)
 
     def found(t: Column) -> Column:
-        return F.when(t.contains("year") | t.contains("yr") | t.contains("שנ"), F.array_max(F.filter(let(t, years), lambda n: n <= MAX_YEARS)))
+        return F.when(t.rlike("[0-9] ?\\+? ?(?:year|yr|שנ)"), F.array_max(F.filter(let(t, years), lambda n: n <= MAX_YEARS)))
 
     return let(_flat(col(c)), found)
 
