@@ -7,10 +7,11 @@ bytes two links share in chunks decide: a pair that shares at least ``COVERAGE``
 the longer link is near; ``p6_found`` then confirms by the exact link. The records of a batch that
 no earlier row has are appended.
 
-Only the *prefix* of a record is in the chunk table: its chunks in one fixed order (common chunks,
-counted once when the index is built, last) up to the point where what is left is too short for
-``COVERAGE``. Two links that share that much must share a chunk of both prefixes (prefix filter,
-exact), and the chunk of a site, which most records have, is neither stored nor read.
+Only the *prefix* of a record is in the chunk table: its chunks in one fixed order (by the number of
+records that had them when the index was built, chunks not seen then first) up to the point where
+what is left is too short for ``COVERAGE``. Two links that share that much must share a chunk of
+both prefixes (prefix filter, exact), and the chunk of a site, which most records have, is neither
+stored nor read.
 
 Scale: both tables are split by hash into buckets of about ``BUCKET_ROWS`` records; their number is
 fixed when the index is built. A batch reads the buckets that its own chunks and its candidates
@@ -39,14 +40,13 @@ MIN_CHUNK = 12
 #: Boundary where these bits of the rolling hash are all zero (8 bytes of memory, 1 in 8).
 MASK_SHIFT, MASK = 5, 7
 #: Share of the longer link's bytes that near links share.
-COVERAGE = 0.7
+COVERAGE = 0.8
 #: Records of a bucket, on average; the number of buckets follows from it and has these bounds.
 BUCKET_ROWS, MOST_BUCKETS = 20_000, 1 << 16
-#: A chunk of more records than this when the index is built is common.
-COMMON = 64
 REPEATS = "first_id bigint, feed_id bigint"
 RECORD = "rec bigint, key string, chunks array<struct<h:bigint,len:int>>, bucket int"
 POSTED = "h bigint, rec bigint, bucket int"
+COMMON = "h bigint, df bigint, bucket int"
 
 
 def chunks(key: Column, min_chunk: int = MIN_CHUNK) -> Column:
@@ -74,8 +74,12 @@ def chunks(key: Column, min_chunk: int = MIN_CHUNK) -> Column:
 
 
 def prefix(cs: Column, coverage: float, common: Column) -> Column:
-    """The chunks of ``cs`` that stand first in the fixed order until less than ``coverage`` of the bytes is left."""
-    order = F.array_sort(F.transform(cs, lambda c: F.struct(F.exists(common, lambda k: k == c["h"]).cast("int").alias("o"), c["h"].alias("h"), c["len"].alias("len"))))
+    """The chunks of ``cs`` that stand first in the fixed order until less than ``coverage`` of the bytes is left.
+
+    ``common`` holds what the index counted, as array<struct<h, df>>; a chunk that is not there counts 0.
+    """
+    df = lambda h: F.coalesce(F.get(F.filter(common, lambda k: k["h"] == h), F.lit(0))["df"], F.lit(0).cast("bigint"))
+    order = F.array_sort(F.transform(cs, lambda c: F.struct(df(c["h"]).alias("o"), c["h"].alias("h"), c["len"].alias("len"))))
     total = F.aggregate(cs, F.lit(0), lambda a, c: a + c["len"])
     start = F.struct(F.lit(0).alias("sum"), F.expr("array()").cast("array<bigint>").alias("hs"))
 
@@ -105,17 +109,17 @@ class ChunkIndex:
         """First load: one record for each distinct posting of ``rows`` (``id``, ``key``)."""
         keys = cut(distinct_postings(rows))
         self.buckets = max(1, min(MOST_BUCKETS, -(-keys.count() // self.bucket_rows)))
-        counted = keys.select(F.explode(F.array_distinct("chunks.h")).alias("h")).groupBy("h").count().filter(F.col("count") > COMMON).select("h")
-        counted.write.parquet(f"{self.path}/common")
+        counted = keys.select(F.explode(F.array_distinct("chunks.h")).alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").withColumn("bucket", self.bucket("h"))
+        counted.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/common")
         self.append(keys)
         return self
 
     def _with_prefix(self, keys: DataFrame) -> DataFrame:
-        """``keys`` and ``hs``, the chunks it is found by; the common chunks come by a join, whatever their number."""
-        common = self.spark.read.schema("h bigint").parquet(f"{self.path}/common")
-        own = keys.select("rec", F.explode(F.array_distinct("chunks.h")).alias("h")).join(common, "h").groupBy("rec").agg(F.collect_list("h").alias("_common"))
-        hot = F.coalesce("_common", F.expr("array()").cast("array<bigint>"))
-        return keys.join(own, "rec", "left").withColumn("hs", prefix(F.col("chunks"), self.coverage, hot)).drop("_common")
+        """``keys`` and ``hs``, the chunks it is found by; the counts come by a join with the buckets that ``keys`` touch."""
+        each = keys.select("rec", F.explode(F.array_distinct("chunks.h")).alias("h"))
+        own = each.join(self._read("common", COMMON, each, "h"), "h").groupBy("rec").agg(F.collect_list(F.struct("h", "df")).alias("_common"))
+        counts = F.coalesce("_common", F.expr("cast(array() as array<struct<h:bigint,df:bigint>>)"))
+        return keys.join(own, "rec", "left").withColumn("hs", prefix(F.col("chunks"), self.coverage, counts)).drop("_common")
 
     def bucket(self, c: Column | str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
@@ -152,7 +156,7 @@ def distinct_postings(rows: DataFrame) -> DataFrame:
 
 def check_batch(index: ChunkIndex, batch: DataFrame, out: str) -> None:
     """Write the repeats of one batch (``id``, ``key``) to ``out`` and append its new postings."""
-    keys = cut(index._with_prefix(distinct_postings(batch)))
+    keys = cut(index._with_prefix(cut(distinct_postings(batch))))
     known = index.near(keys).filter("exact").groupBy("rec").agg(F.min("known").alias("known"))
     seen = cut(keys.join(known, "rec", "left"))
     (

@@ -118,7 +118,7 @@ def test_near_links_equal_brute_force(spark):
     rnd = random.Random(12)
     link = lambda i: (i, f"boards.example|/{rnd.choice(['acmeronlabs', 'bolt'])}/openings/{rnd.choice(['engineering', 'people'])}/{rnd.choice(['north', 'south'])}/{rnd.randrange(10**8, 10**8 + 30)}|")
     acc, new = spark.createDataFrame([link(i) for i in range(400)], "id long, key string"), spark.createDataFrame([link(1000 + i) for i in range(40)], "id long, key string")
-    index = p6.ChunkIndex(spark, bucket_rows=10).build(acc)
+    index = p6.ChunkIndex(spark, coverage=0.6, bucket_rows=10).build(acc)
     keys = index._with_prefix(p6.distinct_postings(new)).cache()
     got = {(r.rec, r.known): r.coverage for r in index.near(keys).collect()}
     have, asked = p6.distinct_postings(acc).collect(), keys.collect()
@@ -127,7 +127,7 @@ def test_near_links_equal_brute_force(spark):
         for r in have:
             b = {c.h for c in r.chunks}
             share = sum(c.len for c in q.chunks if c.h in b) / max(len(q.key), len(r.key))
-            if share >= p6.COVERAGE:
+            if share >= 0.6:
                 want[q.rec, r.rec] = share
     assert got == pytest.approx(want) and any(v < 1 for v in want.values()) and any(v == 1 for v in want.values())
     one = index._read("posted", p6.POSTED, keys.limit(1).select(F.explode("hs").alias("h")), "h")
