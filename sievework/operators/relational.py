@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, text
+from .checkpoint import cut
 
 
 def first_per_key(df: DataFrame, key: Column, order: list, keep_empty: bool = True) -> DataFrame:
@@ -94,13 +95,16 @@ def suppress_within_run(df: DataFrame, key: str, masked: Column) -> DataFrame:
     """``blocked_by``: link of the first row of the key when it comes from another source (or is masked).
 
     The owner of a key is an aggregate that combines on the map side and is joined back; rows
-    without a key never block and stay out of both.
+    without a key never block and stay out of both. The rows are written once first, as their keys
+    are dear to compute and are read three times.
     """
+    df = cut(df.withColumn("_masked", masked))
+    masked = F.col("_masked")
     keyed = df.filter(F.col(key).isNotNull())
     owners = keyed.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct("ord", "source", "url"), "ord").alias("_f"))
     owned = (F.col("_f.ord") < F.col("ord")) & (masked | ~F.col("source").eqNullSafe(F.col("_f.source")))
     judged = keyed.join(owners, F.col(key) == F.col("_k")).withColumn("blocked_by", F.when(owned, text("_f.url"))).drop("_f", "_k")
-    return judged.unionByName(df.filter(F.col(key).isNull()).withColumn("blocked_by", F.lit(None).cast("string")))
+    return judged.unionByName(df.filter(F.col(key).isNull()).withColumn("blocked_by", F.lit(None).cast("string"))).drop("_masked")
 
 
 def two_feed_union(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
