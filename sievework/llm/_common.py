@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checkpoint import cut, shared_folder
+from ..operators.checkpoint import Scratch, cut, shared_folder
 
-__all__ = ["blank_to_null", "checked_broadcast", "cut", "let", "query_reading", "read", "shared_folder"]
+__all__ = ["Scratch", "blank_to_null", "checked_broadcast", "cut", "let", "query_reading", "read", "shared_folder"]
 #: A side is broadcast only when its counted rows do not exceed this bound.
 BROADCAST_ROWS = 20_000
 

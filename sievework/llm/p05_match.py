@@ -15,10 +15,14 @@ is evidence of its own: its confidence is the measured share of such pairs that
 
 Scale: both tables go through one pass; equal rows are one profile (known by 128 bits) and pairs are
 made between profiles and joined with their members at the end, so copies cost nothing in the
-search. A block holds rows that agree in three attributes; what is left of a hot block is split by
-adaptive skew handling of the sort-merge join. The plan is cut twice, so no stage of it is long.
-The classifier is fitted on counts of all labelled pairs' feature vectors (flags, so few distinct
-ones); scoring is a JVM expression.
+search. A profile is sent once to each of its blocks (two attributes) with all that it knows; there
+the keys of the block are made and joined in place, and what two profiles have in common is worked
+out on the spot, so neither keys nor attributes of pairs are ever shuffled. Pairs are two numbers
+and a few bits. Kinds of blocks go one after the other and every step ends in a compressed table,
+after which its shuffles are freed, so the disk holds those of one step only. The sort-merge join
+of a block's keys grows with the pairs that share one, not with the square of the block; a block is
+one task, the largest are those of a title and a place. The classifier is fitted on counts of all
+labelled pairs' feature vectors (flags, so few distinct ones); scoring is a JVM expression.
 
 Defined results: a null, empty or masked attribute is unknown and neither joins nor parts; rows
 with fewer than two known attributes match only by number; ties are all returned; repeated rows
@@ -29,13 +33,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, let, query_reading
+from ._common import Scratch, cut, let, query_reading
 from .links import posting_key
 from .p07_places import named_places, with_copy_region
 
@@ -138,7 +144,7 @@ def _attribute_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def described(page: DataFrame, agency: DataFrame, places: DataFrame) -> DataFrame:
-    """Both tables as ``uid`` (2 x id, + 1 for a listing), ``links``, ``numbers``, KNOWN; checkpointed."""
+    """Both tables as ``uid`` (2 x id, + 1 for a listing), ``links``, ``numbers``, KNOWN."""
     number = lambda u: F.coalesce(F.regexp_extract_all(u, F.lit(r"(\d{6,})(?!\d)"), 1), F.expr(_NONE))
     urls = F.concat(F.array("url"), F.coalesce("dups.url", F.expr(_NONE)))
     left = page.select(
@@ -153,7 +159,7 @@ def described(page: DataFrame, agency: DataFrame, places: DataFrame) -> DataFram
         .groupBy(F.col("row_id").alias("uid")).agg(F.array_sort(F.collect_set("name_en")).alias("places"))
     )
     parsed = left.unionByName(right).mapInArrow(_attribute_batches, "uid bigint, links array<string>, numbers array<string>, " + ", ".join(f"{c} string" for c in ATTRS))
-    return cut(parsed.join(named, "uid", "left"))
+    return parsed.join(named, "uid", "left")
 
 
 def told_levels(rows: DataFrame) -> DataFrame:
@@ -176,14 +182,22 @@ def filled(rows: DataFrame) -> DataFrame:
     Page rows of one posting share a link; a listing shares the number it names.
     """
     keys = F.when(F.col("uid") % 2 == 0, F.concat(F.transform("links", lambda k: F.concat(F.lit("l"), k)), F.transform("numbers", lambda n: F.concat(F.lit("n"), n)))).otherwise(F.transform("numbers", lambda n: F.concat(F.lit("n"), n)))
-    each = rows.select("uid", F.explode(keys).alias("k"), *KNOWN)
     level = F.when(F.col("position").isNotNull(), F.col("level"))
+    page = F.col("uid") % 2 == 0
     # numbers lead listings to postings only; page rows know each other by the whole link
-    known = each.filter("uid % 2 = 0").groupBy("k").agg(*(F.min(level if c == "level" else c).alias(c) for c in KNOWN), F.count("*").alias("n"))
-    some = each.filter("uid % 2 = 1 or k like 'l%'").select("uid", "k").join(known.filter("n > 1 or k like 'n%'"), "k").groupBy("uid").agg(*(F.min(c).alias(f"_{c}") for c in KNOWN))
-    both = rows.join(some, "uid", "left").withColumn("own", F.struct(*KNOWN))
-    told = F.when(F.col("position").isNull() | (F.col("uid") % 2 == 0) & (F.col("level") == "none"), F.coalesce("_level", "level")).otherwise(F.col("level"))
-    return both.select("uid", "numbers", "own", *(told.alias("level") if c == "level" else F.coalesce(c, f"_{c}").alias(c) for c in KNOWN))
+    known = rows.filter(page).select(F.explode(keys).alias("k"), *KNOWN).groupBy("k").agg(*(F.min(level if c == "level" else c).alias(c) for c in KNOWN), F.count("*").alias("n"))
+    lacks = page & (F.col("level") == "none")
+    for c in KNOWN:
+        lacks = lacks | F.col(c).isNull()
+    some = (
+        rows.filter(lacks).select("uid", F.explode(keys).alias("k")).filter("uid % 2 = 1 or k like 'l%'").join(known.filter("n > 1 or k like 'n%'"), "k")
+        .groupBy("uid").agg(*(F.min(c).alias(f"_{c}") for c in KNOWN))
+    )
+    own = F.struct(*KNOWN).alias("own")
+    told = F.when(F.col("position").isNull() | page & (F.col("level") == "none"), F.coalesce("_level", "level")).otherwise(F.col("level"))
+    both = rows.filter(lacks).join(some, "uid", "left").select("uid", "numbers", own, *(told.alias("level") if c == "level" else F.coalesce(c, f"_{c}").alias(c) for c in KNOWN))
+    # the others have nothing to be filled and stay where they are
+    return rows.filter(~lacks).select("uid", "numbers", own, *KNOWN).unionByName(both)
 
 
 def signatures(c: Column) -> Column:
@@ -193,35 +207,59 @@ def signatures(c: Column) -> Column:
     return F.when(c.isNotNull(), let(pairs, lambda ps: F.transform(F.sequence(F.lit(1), F.lit(SIGNATURES)), lambda s: F.array_min(F.transform(ps, lambda p: F.xxhash64(p, s))))))
 
 
+def title() -> Column:
+    """Level and position as one attribute; null where the position is unknown."""
+    return F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position"))
+
+
+#: Kinds of blocks: the two attributes of a block (c employer, p project, t title, o place), the one by whose MinHash its
+#: rows meet, and whether they also meet by place. The last is a posting number.
+KINDS = (("ct", "p", True), ("pt", "c", False), ("cp", "t", True), ("to", "p", False), ("po", "t", False), ("#", "", False))
+
+
+def blocks(kind: int) -> Column:
+    """Blocks of that kind that a profile is in, as array<bigint>."""
+    two, none = KINDS[kind][0], F.expr("cast(array() as array<bigint>)")
+    if two == "#":
+        return F.coalesce(F.transform("numbers", lambda n: F.xxhash64(F.lit("#"), n)), none)
+    exact = {"c": F.col("sk"), "p": F.col("project"), "t": title()}
+    x, y = exact[two[0]], exact.get(two[1])
+    if y is None:  # no employer needed
+        return F.when(x.isNotNull() & F.col("places").isNotNull(), F.transform("places", lambda o: F.xxhash64(F.lit(kind), x, o))).otherwise(none)
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(F.xxhash64(F.lit(kind), x, y))).otherwise(none)
+
+
+def keys_in(kind: int, about: dict[str, Column]) -> Column:
+    """Keys by which a profile meets others of its block, as array<bigint>; ``about``: MinHash values by attribute."""
+    two, third, by_place = KINDS[kind]
+    if two == "#":
+        return F.expr("array(0L)")
+    none = F.expr("cast(array() as array<bigint>)")
+    out = F.coalesce(F.transform(about[third], lambda m, j: F.xxhash64(j, m)), none)
+    return F.concat(out, F.coalesce(F.transform("places", lambda o: F.xxhash64(F.lit("o"), o)), none)) if by_place else out
+
+
 def block_keys() -> Column:
-    """Keys of a profile: a posting number, or three attributes of which one may be a MinHash."""
-    title = F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position"))
-    exact = {"c": F.col("sk"), "p": F.col("project"), "t": title}
+    """Every key of a profile, whatever its block: a posting number, or three attributes of which one may be a MinHash."""
     about = {"c": F.col("_sk"), "p": F.col("_project"), "t": F.col("_title")}
-    none = F.expr("cast(array() as array<bigint>)")
-    out = [F.transform("numbers", lambda n: F.xxhash64(F.lit("#"), n))]
-    for i, (x, y, z) in enumerate((("c", "t", "p"), ("p", "t", "c"), ("c", "p", "t"))):  # no place needed
-        key = F.transform(about[z], lambda m, j: F.xxhash64(F.lit(i), exact[x], exact[y], j, m))  # noqa: B023
-        out.append(F.when(exact[x].isNotNull() & exact[y].isNotNull() & about[z].isNotNull(), key).otherwise(none))
-    for i, (x, z) in enumerate((("t", "p"), ("p", "t")), 3):  # no employer needed
-        key = F.flatten(F.transform("places", lambda o: F.transform(about[z], lambda m, j: F.xxhash64(F.lit(i), exact[x], o, j, m))))  # noqa: B023
-        out.append(F.when(exact[x].isNotNull() & about[z].isNotNull(), F.coalesce(key, none)).otherwise(none))
-    for i, (x, y) in enumerate((("c", "t"), ("c", "p")), 5):
-        key = F.transform("places", lambda o: F.xxhash64(F.lit(i), exact[x], exact[y], o))  # noqa: B023
-        out.append(F.when(exact[x].isNotNull() & exact[y].isNotNull(), F.coalesce(key, none)).otherwise(none))
-    return F.array_distinct(F.concat(*out))
-
-
-def profiles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(profiles with ``pid``, ``side``, ``keys``; members ``pid, uid``), both checkpointed."""
+    one = lambda kind: F.flatten(F.transform(blocks(kind), lambda k: F.transform(keys_in(kind, about), lambda m: F.xxhash64(k, m))))
+    return F.array_distinct(F.concat(*(one(kind) for kind in range(len(KINDS)))))
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """``rows`` and ``h``, which equal rows of a side share; what a listing itself says only where it names a number."""
     side = (F.col("uid") % 2).cast("int")
-    told = F.to_json(F.struct(side.alias("side"), *KNOWN, F.when(side == 1, F.col("own")).alias("own"), F.when(side == 1, F.col("numbers")).alias("numbers")))
-    tagged = cut(rows.withColumn("numbers", F.array_sort("numbers")).withColumn("pid", F.md5(told)))
+    numbered = (side == 1) & (F.size("numbers") > 0)
+    rows = rows.withColumns({"numbers": F.array_sort("numbers"), "own": F.when(numbered, F.col("own"))})
+    told = F.to_json(F.struct(side.alias("side"), *KNOWN, "own", F.when(numbered, F.col("numbers")).alias("numbers")))
+    return rows.withColumn("h", F.unhex(F.md5(told)))
+
+
+def profiles(tagged: DataFrame) -> DataFrame:
+    """``pid`` (the smallest ``uid``), ``h``, ``side``, ``own``, ``numbers``, KNOWN of each profile."""
     # a page profile names every number of its rows; each number is a key of its own
-    first = tagged.groupBy("pid").agg(F.min_by(F.struct("uid", "own", *KNOWN), "uid").alias("f"), F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers"))
-    one = first.select("pid", (F.col("f.uid") % 2).cast("int").alias("side"), "f.own", "numbers", *(f"f.{c}" for c in KNOWN))
-    words = {"_sk": signatures(F.col("sk")), "_project": signatures(F.col("project")), "_title": signatures(F.when(F.col("position").isNotNull(), F.concat_ws("/", "level", "position")))}
-    return cut(one.withColumns(words).withColumn("keys", block_keys()).drop(*words)), tagged.select("pid", "uid")
+    one = tagged.groupBy("h").agg(F.min("uid").alias("pid"), F.first(F.struct("own", *KNOWN)).alias("f"), F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers"))
+    return one.select("pid", "h", (F.col("pid") % 2).cast("int").alias("side"), "f.own", "numbers", *(f"f.{c}" for c in KNOWN))
 
 
 FEATURES = ["employer_same", "employer_near", "employer_diff", "project_same", "project_near", "project_diff", "position_same", "position_near", "position_diff", "level_diff", "level_lost", "place_same", "place_diff"]
@@ -272,7 +310,7 @@ LEAST_LABELS = 10
 def train(labelled: DataFrame) -> tuple[np.ndarray, float, float, float]:
     """(weights, slope, shift, confidence of a shared number) from all labelled pairs.
 
-    ``labelled`` has FEATURES, ``label`` (null = unknown), ``same_number`` and the pids. The
+    ``labelled`` has FEATURES, ``label`` (null = unknown), ``same_number`` and two names of the profiles, ``a_pid`` and ``b_pid``. The
     classifier is fitted on one half, Platt calibration on the other. Features are flags, so all
     pairs come as counts of their distinct vectors, whatever the number of pairs.
     """
@@ -292,35 +330,99 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float, float, float]:
     return w, float(slope), float(shift), by_number
 
 
+def meeting(one: DataFrame, kind: int, *more: str) -> DataFrame:
+    """``a_pid, a, b_pid, b`` of the profiles that meet in a block of that kind, once a block, and columns ``more`` of the listing.
+
+    Blocks are spread by ``k`` and their keys made afterwards, so with ``joined_in_place`` they stay where they are.
+    """
+
+    def spread(side: int, name: str, *more: str) -> DataFrame:
+        sent = one.filter(F.col("side") == side).select(F.explode(blocks(kind)).alias("k"), "pid", *KNOWN, *more).repartition("k")
+        third = {"c": F.col("sk"), "p": F.col("project"), "t": title()}.get(KINDS[kind][1])
+        made = sent.select("k", F.col("pid").alias(f"{name}_pid"), F.struct(*KNOWN).alias(name), *more, keys_in(kind, {KINDS[kind][1]: None if third is None else signatures(third)}).alias(f"_{name}"))
+        return made.select("*", F.explode(f"_{name}").alias("m"))
+
+    both = spread(0, "a").join(spread(1, "b", *more), ["k", "m"])
+    # of the keys that two profiles share in a block the first counts
+    return both.filter(F.col("m") == F.get(F.array_intersect("_a", "_b"), F.lit(0))).select("a_pid", "a", "b_pid", "b", *more)
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables that are spread by one key of a join are joined without being spread again."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def candidate_pairs(one: DataFrame) -> DataFrame:
-    """``a_pid, b_pid``: profiles of the two sides that share a block."""
-    keyed = one.select("pid", "side", F.explode("keys").alias("k"))
-    return keyed.filter("side = 0").select(F.col("pid").alias("a_pid"), "k").join(keyed.filter("side = 1").select(F.col("pid").alias("b_pid"), "k"), "k").select("a_pid", "b_pid").distinct()
+    """``a_pid, b_pid``: profiles of the two sides that meet in a block."""
+    return reduce(DataFrame.unionByName, (meeting(one, kind).select("a_pid", "b_pid") for kind in range(len(KINDS)))).distinct()
 
 
-def matches(page: DataFrame, agency: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``row_id, listing_id, confidence`` of each pair of rows of one opening."""
-    one, members = profiles(filled(told_levels(described(page, agency, places))))
-    known = F.struct(*KNOWN)
-    left = one.filter("side = 0").select(F.col("pid").alias("a_pid"), known.alias("a"), F.col("numbers").alias("a_numbers"))
-    right = one.filter("side = 1").select(F.col("pid").alias("b_pid"), known.alias("b"), "own", F.col("numbers").alias("b_numbers"))
-    pairs = candidate_pairs(one).join(left, "a_pid").join(right, "b_pid").withColumn("same_number", F.arrays_overlap("a_numbers", "b_numbers"))
-    pairs = cut(features(pairs).select("a_pid", "b_pid", "a", "b", "own", "same_number", (F.size("b_numbers") > 0).alias("numbered"), *FEATURES))
-    # weak labels: of a listing with a number everything is known; its features are what it says itself
+#: Bits of a pair's ``code`` after those of FEATURES: both are known in full, the listing names a number, the posting has it.
+WHOLE, NUMBERED, SAME_NUMBER = range(len(FEATURES), len(FEATURES) + 3)
+
+
+def bit(i: int, of: str = "code") -> Column:
+    return F.getbit(F.col(of), F.lit(i)) == 1
+
+
+def packed(flags: dict[int, Column]) -> Column:
+    """Flags as the bits of a number."""
+    return reduce(Column.bitwiseOR, (F.when(c, 1 << i).otherwise(0) for i, c in flags.items()))
+
+
+def coded(met: DataFrame, same_number: bool) -> DataFrame:
+    """``a_pid, b_pid, code, own``: what pairs have in common, as bits, and the same by what the listing itself says."""
+    of = {i: F.col(c) == 1 for i, c in enumerate(FEATURES)}
     whole = F.lit(True)
     for c in ("sk", "project", "position", "places"):
         whole = whole & F.col(f"a.{c}").isNotNull() & F.col(f"b.{c}").isNotNull()
-    parted = sum((F.col(c) for c in DIFF), F.lit(0.0)) > 0
-    label = F.when(F.col("same_number"), 1).when(whole | parted, F.when(parted, 0).otherwise(1))
-    labelled = features(pairs.filter("numbered").withColumn("label", label).drop(*FEATURES), "a", "own")
-    w, slope, shift, by_number = train(labelled)
-    z = sum((F.col(f) * float(v) for f, v in zip(FEATURES, w[:-1], strict=True)), F.lit(float(w[-1])))
-    confidence = 1 / (1 + F.exp(-(slope * z + shift)))
-    scored = pairs.select("a_pid", "b_pid", F.when(F.col("same_number"), F.greatest(confidence, F.lit(by_number))).otherwise(confidence).alias("confidence"))
-    kept = scored.filter(F.col("confidence") >= threshold)
-    rows = members.filter("uid % 2 = 0").select(F.col("pid").alias("a_pid"), F.shiftright("uid", 1).alias("row_id"))
-    listings = members.filter("uid % 2 = 1").select(F.col("pid").alias("b_pid"), F.shiftright("uid", 1).alias("listing_id"))
-    return kept.join(rows, "a_pid").join(listings, "b_pid").select("row_id", "listing_id", F.round("confidence", 6).alias("confidence"))
+    code = packed(of | {WHOLE: whole, NUMBERED: F.col("own").isNotNull(), SAME_NUMBER: F.lit(same_number)}).alias("code")
+    full = features(met).select("a_pid", "b_pid", "a", "own", code)
+    return features(full, "a", "own").select("a_pid", "b_pid", "code", F.when(F.col("own").isNotNull(), packed(of)).alias("own"))
+
+
+def labels(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """Pairs of listings with a number, as ``train`` takes them: everything is known of them; their features are what they say themselves.
+
+    Profiles go by what they hold, so that the ids of rows don't decide which half a pair falls into.
+    """
+    each = pairs.filter(bit(NUMBERED)).groupBy("a_pid", "b_pid").agg(F.bit_or("code").alias("code"), F.max("own").alias("own"))
+    parted = reduce(Column.__or__, (bit(FEATURES.index(c)) for c in DIFF))
+    label = F.when(bit(SAME_NUMBER), 1).when(bit(WHOLE) | parted, F.when(parted, 0).otherwise(1))
+    for side in "ab":
+        each = each.join(one.select(F.col("pid").alias(f"{side}_pid"), F.lower(F.hex("h")).alias(f"_{side}")), f"{side}_pid")
+    return each.select(F.col("_a").alias("a_pid"), F.col("_b").alias("b_pid"), label.alias("label"), bit(SAME_NUMBER).alias("same_number"), *(F.getbit("own", F.lit(i)).cast("double").alias(c) for i, c in enumerate(FEATURES)))
+
+
+def matches(page: DataFrame, agency: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``row_id, listing_id, confidence`` of each pair of rows of one opening."""
+    with Scratch(page.sparkSession) as tables, joined_in_place(page.sparkSession):
+        rows = tables.keep("rows", described(page, agency, places))
+        rows = tables.keep("tagged", tagged(filled(told_levels(rows))))
+        tables.drop("rows")
+        one = tables.keep("profiles", profiles(rows))
+        members = tables.keep("members", rows.select("h", "uid").join(one.select("h", "pid"), "h").select("pid", "uid"))
+        tables.drop("tagged")
+        for kind in range(len(KINDS)):
+            pairs = tables.keep("pairs", coded(meeting(one, kind, "own"), KINDS[kind][0] == "#"))
+        w, slope, shift, by_number = train(labels(pairs, one))
+        tables.drop("profiles")
+        z = sum((F.when(bit(i), float(v)).otherwise(0.0) for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
+        confidence = 1 / (1 + F.exp(-(slope * z + shift)))
+        # a pair may have met in several blocks, and its number is known in one of them only
+        each = pairs.filter(bit(NUMBERED) | (confidence >= threshold)).groupBy("a_pid", "b_pid").agg(F.bit_or("code").alias("code"))
+        scored = each.select("a_pid", "b_pid", F.when(bit(SAME_NUMBER), F.greatest(confidence, F.lit(by_number))).otherwise(confidence).alias("confidence"))
+        kept = scored.filter(F.col("confidence") >= threshold)
+        left = members.filter("uid % 2 = 0").select(F.col("pid").alias("a_pid"), F.shiftright("uid", 1).alias("row_id"))
+        right = members.filter("uid % 2 = 1").select(F.col("pid").alias("b_pid"), F.shiftright("uid", 1).alias("listing_id"))
+        return cut(kept.join(left, "a_pid").join(right, "b_pid").select("row_id", "listing_id", F.round("confidence", 6).alias("confidence")))
 
 
 @query_reading("page_rows", "agency_rows", "places")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,31 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+class Scratch:
+    """Compressed tables in the shared folder that one query needs for a while; all are gone when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{shared_folder(spark)}/scratch_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Append ``df`` to table ``name`` and go on from its files; shuffles that nothing else refers to are freed."""
+        path, schema = f"{self.path}/{name}", df.schema
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        del df
+        # shuffle files go when the driver's JVM collects the plans that wrote them, and left alone that may be never
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        """Delete one table, by default all."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

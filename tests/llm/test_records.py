@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 from datetime import datetime
 
 import numpy as np
@@ -255,6 +256,45 @@ def test_blocking_recall(spark):
     assert sum((str(i), str(i)) in got for i in range(300)) >= 0.95 * 300
 
 
+def _shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return int(spark._jvm.org.apache.spark.sql.SparkSession.active().sparkContext().statusStore().executorSummary("driver").totalShuffleWrite())
+
+
+def test_matches_spare_the_disk(spark):
+    """Bytes a row that are shuffled and that stay in the shared folder: 874 and 598 when keys and pairs were shuffled and every step was a checkpoint."""
+    page, agency, places = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("page_rows", "agency_rows", "places"))
+    rows, folder = page.count() + agency.count(), Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    shuffled, stored = _shuffled(spark), size()
+    found = p5.matches(page, agency, places)
+    shuffled, stored = (_shuffled(spark) - shuffled) / rows, (size() - stored) / rows
+    assert found.count() > 0 and not list(folder.glob("scratch_*"))
+    assert shuffled < 760 and stored < 100
+
+
+def test_blocks_give_the_pairs_that_share_a_key(spark):
+    """Keys made and joined within blocks lead to the same pairs as a join of all keys, each pair once a block, and nothing is spread twice."""
+    rnd = random.Random(5)
+    some = lambda *xs: rnd.choice([None, *xs])
+    rows = [
+        (f"{s}{i}", s, rnd.sample(["100001", "100002", "100003"], rnd.choice([0, 0, 1, 2])), some("krn", "brn", "zlt"), "x", some("orlinax", "orlinex", "mikuvela"), rnd.choice(["none", "senior"]), some("data", "plumber quantum"), some([], ["a"], ["a", "b"], ["b", "c"]))
+        for s in (0, 1) for i in range(60)
+    ]
+    one = spark.createDataFrame(rows, "pid string, side int, numbers array<string>, sk string, employer string, project string, level string, position string, places array<string>")
+    words = {"_sk": p5.signatures(F.col("sk")), "_project": p5.signatures(F.col("project")), "_title": p5.signatures(p5.title())}
+    keyed = one.withColumns(words).select("pid", "side", F.explode(p5.block_keys()).alias("k"))
+    want = keyed.filter("side = 0").select(F.col("pid").alias("a"), "k").join(keyed.filter("side = 1").select(F.col("pid").alias("b"), "k"), "k").select("a", "b").distinct()
+    assert sorted(want.collect()) == sorted(p5.candidate_pairs(one).collect()) != []
+    for kind in (0, 1, 2):
+        met = p5.meeting(one, kind).select("a_pid", "b_pid")
+        assert met.count() == met.distinct().count()
+    with p5.joined_in_place(spark):
+        assert p5.meeting(one, 0)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_place_words_of_any_length(spark):
     long = "Abcdefghijklmnopqrstuvwxyzab"
     places = spark.createDataFrame([(1, long, None, "North"), (2, "Lod", "לוד", "Center"), (3, "Floor", None, "South")], PLACES)
